@@ -141,8 +141,14 @@ def gather(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     size = (end - start).astype(np.int64)
     offset = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=offset[1:])
-    at = np.arange(offset[-1]) + np.repeat(start - offset[:-1], size)
-    return buf[at], offset
+    out = np.empty(offset[-1], buf.dtype)
+    at = 0
+    while at < len(size):  # index arrays of at most CHUNK bytes' worth, or one slice
+        to = max(at + 1, int(np.searchsorted(offset, offset[at] + CHUNK, "right")) - 1)
+        low, high = offset[at], offset[to]
+        out[low:high] = buf[np.arange(low, high) + np.repeat(start[at:to] - offset[at:to], size[at:to])]
+        at = to
+    return out, offset
 
 
 def runs(keys: list[np.ndarray]) -> np.ndarray:

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from detlake.llm.flat import Words, gather, rolling, runs, sliding_min, words_of
 from detlake.llm.frames import NO_ID, documents, partitions, sized, texts
 
-WINDOW, MINIMISER = 13, 4
+WINDOW, MINIMISER = 13, 3
 #: Text cut up at once, and words of a bucket sorted at once.
-CUT_BYTES, SORT_WORDS = 8 << 20, 2_000_000
-_HEADS = np.dtype([("doc", "<i8"), ("h", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4")])
+CUT_BYTES, SORT_WORDS = 4 << 20, 2_000_000
+#: Columns of a packet's heads: minimiser (its low bits), document, text hash, first window, windows, bytes carried (-1: none).
+_HEADS = {"key": "<u4", "doc": "<i8", "h": "<i8", "start": "<i4", "windows": "<i4", "bytes": "<i4"}
 
 
 def spaced(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,10 +69,7 @@ def _pack(docs: np.ndarray, hs: np.ndarray, batch_texts: list[bytes], buckets: i
     travels[order[first]] = True
     same_doc = np.zeros(len(at), bool)
     same_doc[order] = docs[owner[order]] == lead
-    heads = np.zeros(len(at), _HEADS)
-    heads["doc"], heads["h"] = docs[owner], hs[owner]
-    heads["start"], heads["windows"] = at - words.first[owner], n
-    heads["bytes"] = np.where(travels | same_doc, np.diff(offset), -1)
+    heads = {"key": (least >> np.uint64(32)).astype("<u4"), "doc": docs[owner], "h": hs[owner], "start": at - words.first[owner], "windows": n, "bytes": np.where(travels | same_doc, np.diff(offset), -1)}
     bucket = (least % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     cut = runs([bucket[by]])
@@ -79,26 +77,43 @@ def _pack(docs: np.ndarray, hs: np.ndarray, batch_texts: list[bytes], buckets: i
         some = by[a:b]
         carried = some[heads["bytes"][some] >= 0]
         body, _ = gather(packed, offset[carried], offset[carried + 1])
-        yield int(bucket[some[0]]), zstandard.compress(len(some).to_bytes(8, "little") + heads[some].tobytes() + body.tobytes(), 3)
+        yield int(bucket[some[0]]), zstandard.compress(len(some).to_bytes(8, "little") + b"".join(heads[c][some].astype(kind).tobytes() for c, kind in _HEADS.items()) + body.tobytes(), 3)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
+def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], bytes]:
     raw = zstandard.decompress(blob)
-    n = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(raw, _HEADS, n, 8), raw[8 + n * _HEADS.itemsize :]
+    n, at, heads = int.from_bytes(raw[:8], "little"), 8, {}
+    for c, kind in _HEADS.items():
+        heads[c] = np.frombuffer(raw, kind, n, at)
+        at += heads[c].nbytes
+    return heads, raw[at:]
 
 
 def _repeats(blobs: list[bytes], part: int, parts: int) -> Iterator[np.ndarray]:
     """Windows of a bucket that also start under a smaller doc_id: rows (doc, h, window number)."""
-    heads, bodies = zip(*map(_unpack, blobs))
-    heads = np.concatenate(heads)
+    packets = [_unpack(x) for x in blobs]
+    heads = {c: np.concatenate([h[c] for h, _ in packets]) for c in _HEADS}
     if part == 0:
-        away = heads[heads["bytes"] < 0]
-        yield _rows(np.repeat(away["doc"], away["windows"]), np.repeat(away["h"], away["windows"]), np.repeat(away["start"], away["windows"]) + _count(away["windows"]))
-    heads = heads[heads["bytes"] >= 0]
-    body = b"".join(bodies)
-    cut = np.append(0, np.cumsum(heads["bytes"].astype(np.int64)))
-    words = words_of([body[a:b] for a, b in zip(cut[:-1], cut[1:])])
+        away = heads["bytes"] < 0
+        n = heads["windows"][away]
+        yield _rows(np.repeat(heads["doc"][away], n), np.repeat(heads["h"][away], n), np.repeat(heads["start"][away], n) + _count(n))
+    # A minimiser that only one document has can't share a window.
+    order = np.lexsort((heads["doc"], heads["key"]))
+    first = runs([heads["key"][order]])
+    size = np.diff(np.append(first, len(order)))
+    doc = heads["doc"][order]
+    several = np.zeros(len(order), bool)
+    several[order] = np.repeat(doc[first] != doc[first + size - 1], size)
+    use = several & (heads["bytes"] >= 0)
+    texts_of_records, at = [], 0
+    for h, body in packets:
+        cut = np.append(0, np.cumsum(np.maximum(h["bytes"], 0).astype(np.int64)))
+        for i in np.flatnonzero(use[at : at + len(h["bytes"])]).tolist():
+            texts_of_records.append(body[cut[i] : cut[i + 1]])
+        at += len(h["bytes"])
+    del packets
+    heads = {c: x[use] for c, x in heads.items()}
+    words = words_of(texts_of_records)
     all_hashes = rolling(words.hash, WINDOW)
     at = np.flatnonzero(words.windows(WINDOW)[: len(all_hashes)])
     h = all_hashes[at]
@@ -107,19 +122,20 @@ def _repeats(blobs: list[bytes], part: int, parts: int) -> Iterator[np.ndarray]:
         h = all_hashes[at]
     record = np.searchsorted(words.first, at, "right") - 1
     doc = heads["doc"][record]
-    order = np.lexsort((doc, h))
+    order = np.argsort(h, kind="stable")
     h, doc, at, record = h[order], doc[order], at[order], record[order]
     first = runs([h])
-    last = np.append(first[1:], len(h)) - 1
-    several = doc[first] != doc[last]
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
     flat, out = words.buf.tobytes(), []
-    for a, b in zip(first[several], last[several] + 1):
+    begin, end, docs = words.start[at].tolist(), words.end[at + WINDOW - 1].tolist(), doc.tolist()
+    for a, b in zip(first[several].tolist(), np.append(first[1:], len(h))[several].tolist()):
         # Hashes only bring windows together; bytes decide.
+        same = [flat[begin[i] : end[i]] for i in range(a, b)]
         least: dict[bytes, int] = {}
-        for i in range(a, b):
-            text = flat[words.start[at[i]] : words.end[at[i] + WINDOW - 1]]
-            if least.setdefault(text, doc[i]) < doc[i]:
-                out.append(i)
+        for text, d in zip(same, docs[a:b]):
+            if least.setdefault(text, d) > d:
+                least[text] = d
+        out += [i for i, text in zip(range(a, b), same) if least[text] < docs[i]]
     out = np.array(out, np.int64)
     r = record[out]
     yield _rows(doc[out], heads["h"][r], heads["start"][r] + at[out] - words.first[r])
@@ -180,14 +196,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     after all others, so it never is the smaller one; rows that share a
     doc_id don't remove each other's words.
     """
-    rows = documents(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    rows = documents(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("h", F.lit(0).cast("bigint"))
+    else:  # only then a text hash must tell the texts of one doc_id apart
+        rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     marks = repeated_windows(rows).groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "windows")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, CUT_BYTES):
+        for batch in sized(batches, CUT_BYTES >> 1, "packed"):
             n_words, n_removed, kept = [], [], []
-            for text, marks in zip(texts(batch), batch.column("marks").to_pylist()):
-                words = text.split()
+            for packed, marks in zip(batch.column("packed").to_pylist(), batch.column("marks").to_pylist()):
+                words = zstandard.decompress(packed).split()
                 n_words.append(len(words))
                 if marks:
                     gone = covered(len(words), [m["at"] for m in marks], [m["windows"] for m in marks], WINDOW)
@@ -201,5 +221,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             yield pa.record_batch(columns, names=names)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
-    out = rows.join(marks, ["doc_id", "h"], "left").select("doc_id", "text", "marks").mapInArrow(run, schema)
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, CUT_BYTES):
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array([zstandard.compress(x, 3) for x in texts(batch)], pa.binary())], names=["doc_id", "h", "packed"])
+
+    # Texts move once, compressed better than a shuffle would.
+    packed = rows.select("doc_id", "h", "text").mapInArrow(shrink, "doc_id bigint, h bigint, packed binary")
+    out = packed.join(marks, ["doc_id", "h"], "left").select("doc_id", "packed", "marks").mapInArrow(run, schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
