@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from detlake.llm.components import components
 from detlake.llm.flat import mix, rolling, words_of
-from detlake.llm.frames import NO_ID, documents, sized, texts, written
+from detlake.llm.frames import NO_ID, documents, partitions, sized, texts, written
 
 #: Bands and hashes in each: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 #: Signature entries compared before the posterior is looked at again, and the chance of pruning a true pair each time.
 STEP, MISS = 16, 1e-7
+#: Members of a lead compared at once.
+GROUP = 1024
 _RANDOM = np.random.default_rng(7)
 _XOR = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _TIMES = _RANDOM.integers(0, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,8 +57,21 @@ def signatures(values: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band of each signature."""
+    halves = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), BANDS, ROWS // 2)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), halves.shape[:2])
+    for i in range(halves.shape[2]):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + halves[:, :, i])
+    return key.view(np.int64)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+
+
 def features(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text hash, size and 128-bit digest of the shingle set, and its signature."""
+    """doc_id, text hash, size and 128-bit digest of the shingle set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, 4 << 20):
@@ -67,10 +83,29 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
                 if len(full):
                     d[full] = np.add.reduceat(mix(values ^ np.uint64(salt)), offset[:-1][full])
                 digests.append(pa.array(d.view(np.int64)))
+            keys = band_keys(signatures(values, offset))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(np.diff(offset)), *digests, bands], names=["doc_id", "h", "n", "d1", "d2", "bands"])
+
+    return keyed(docs).mapInArrow(run, "doc_id bigint, h bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """rep, n, items (the full set) and sig (its signature) of the documents with these ids.
+
+    The texts are shuffled to the ids at every size: ids follow the input,
+    so they are never assumed to be small.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, 4 << 20):
+            values, offset = shingle_sets(texts(batch), shingle)
             sig = signatures(values, offset)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(np.diff(offset)), *digests, pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "h", "n", "d1", "d2", "sig"])
+            items = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(values.view(np.int64)))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offset)), items, pa.array([x.tobytes() for x in sig], pa.binary())], names=["rep", "n", "items", "sig"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(run, "doc_id bigint, h bigint, n bigint, d1 bigint, d2 bigint, sig binary")
+    rows = docs.join(ids.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    return rows.mapInArrow(run, "rep bigint, n bigint, items array<bigint>, sig binary")
 
 
 def least_matches(percent: int, miss: float = MISS) -> list[tuple[int, int]]:
@@ -91,7 +126,7 @@ def least_matches(percent: int, miss: float = MISS) -> list[tuple[int, int]]:
     return out
 
 
-def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sequential comparison of their signatures doesn't prune.
 
     Batches of entries are compared one after the other; a pair ends as soon
@@ -109,32 +144,90 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(alive)
             yield pa.record_batch([batch.column("a").take(kept), batch.column("b").take(kept)], names=["a", "b"])
 
-    def side(x: str) -> DataFrame:
-        return reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    both = pairs.join(_side(sets, "a", "n", "sig"), "a").join(_side(sets, "b", "n", "sig"), "b")
+    near_in_size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.where(near_in_size).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
-    sized_pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized_pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
+def _side(sets: DataFrame, x: str, *columns: str) -> DataFrame:
+    return sets.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold. Only texts in a pair are read into sets."""
-    pairs = written(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, 4 << 20):
-            values, offset = shingle_sets(texts(batch), shingle)
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(values.view(np.int64)))], names=["doc_id", "items"])
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold."""
+    both = pairs.join(_side(sets, "a", "items"), "a").join(_side(sets, "b", "items"), "b")
+    shared = F.size(F.array_intersect("items_a", "items_b"))
+    return both.where(100 * shared >= percent * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = written(rows.mapInArrow(run, "doc_id bigint, items array<bigint>"))
 
-    def side(x: str) -> DataFrame:
-        return sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"items_{x}"))
+def spanning(root: np.ndarray, n: np.ndarray, differences: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one group's members as all pairs at the threshold would.
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("items_a", "items_b"))
-    return both.where(100 * shared >= percent * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
+    ``differences`` has each member's symmetric difference with the group's
+    lead.  That of two members is the symmetric difference of these, so what
+    two have in common follows from the overlap of two short sets; overlaps
+    of all members are one matrix product, taken in slices of elements.
+    """
+    d = np.array([len(x) for x in differences])
+    owner = np.repeat(np.arange(len(d)), d)
+    element, code, count = np.unique(np.concatenate([np.zeros(0, np.int64), *differences]), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    keep = count[code] > 1
+    owner, code = owner[keep], place[code[keep]]
+    overlap = np.zeros((len(d), len(d)), np.float32)
+    for low in range(0, int(code.max()) + 1 if len(code) else 0, 2048):
+        here = (code >= low) & (code < low + 2048)
+        m = np.zeros((len(d), 2048), np.float32)
+        m[owner[here], code[here] - low] = 1
+        overlap += m @ m.T
+    total = n[:, None] + n[None, :]
+    apart = d[:, None] + d[None, :] - 2 * overlap.astype(np.int64)
+    linked = 100 * (total - apart) >= percent * (total + apart)
+    same = root[:, None] == root[None, :]
+    out, waiting = [], np.ones(len(d), bool)
+    for seed in range(len(d)):
+        reached = [seed] if waiting[seed] else []
+        waiting[seed] = False
+        while reached:
+            i = reached.pop()
+            for j in np.flatnonzero(waiting & (linked[i] | same[i])).tolist():
+                waiting[j] = False
+                reached.append(j)
+                if not same[i, j]:
+                    out.append((i, j))
+    return out
+
+
+def remaining_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share buckets under one lead.
+
+    Only leads whose members aren't in one component take part.  A member
+    travels as its difference from the lead.  Groups of more than GROUP
+    members are cut into blocks, and every pair of blocks is a group of its
+    own, so no task holds more than two blocks; of all links only those that
+    join components leave it.
+    """
+    placed = members.select("lead", "rep").distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("lead", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = written(placed)
+    is_open = placed.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("lo < hi").select("lead", "blocks")
+    rest = placed.join(is_open, "lead").withColumnRenamed("rep", "x").join(_side(sets, "x", "n", "items"), "x").join(_side(sets, "lead", "items"), "lead")
+    difference = F.concat(F.array_except("items_x", "items_lead"), F.array_except("items_lead", "items_x"))
+    own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")))
+    rows = rest.select("lead", "x", "root", F.col("n_x").alias("n"), difference.alias("difference"), F.explode(groups).alias("g")).select("lead", "g.*", "x", "root", "n", "difference")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(group: list[tuple]) -> pa.RecordBatch:
+            x, root, n, difference = (list(c) for c in zip(*(r[3:] for r in group)))
+            got = spanning(np.array(root), np.array(n), [np.array(v, np.int64) for v in difference], percent)
+            return pa.record_batch([pa.array([x[i] for i, _ in got], pa.int64()), pa.array([x[j] for _, j in got], pa.int64())], names=["a", "b"])
+
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, group in groupby(rows, lambda r: r[:3]):
+            yield links(list(group))
+
+    keys = ["lead", "low", "high"]
+    return rows.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
 
 
 def one_text_each(rows: DataFrame) -> DataFrame:
@@ -153,13 +246,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     1. Documents with equal sets form a class under the smallest doc_id; from
        here on classes stand for their members, so copies cost nothing.
     2. Signatures are cut into bands.  In each bucket of a band every class
-       is paired with the bucket's first class only; pairs are deduplicated
-       over bands, pruned by sequential Bayesian comparison of signatures and
-       confirmed on the full sets.
-    3. Buckets whose classes aren't in one component by then hold links that
-       the first class doesn't show.  There, and only there, classes of
-       different components are paired and go the same way.  So no candidate
-       link between components is lost, and none within one is looked at.
+       is paired with the bucket's first class, its lead; pairs are
+       deduplicated over bands, pruned by sequential Bayesian comparison of
+       signatures and confirmed on the full sets.
+    3. Leads whose members aren't in one component by then may hide links
+       between members.  There, and only there, all members of a lead are
+       compared exactly, in blocks, and links that join components kept
+       (``remaining_links``).  So no candidate link is lost.
 
     Null and empty texts have n_shingles 0 and are alone.  A null doc_id
     sorts after all others and is returned as null.  Of several texts under
@@ -167,30 +260,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     """
     docs = documents(docs)
     rows = written(features(docs, shingle))
-    single = one_text_each(rows)
+    single, texts_of = one_text_each(rows), keyed(docs)
     if single is not rows:
-        chosen = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-        texts_of = chosen.join(single.select("doc_id", "h"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id"])
-    else:
-        texts_of = docs
-    reps = written(single.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    width = 4 * ROWS
-    band: Column = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.expr("sig").substr(i * width + 1, F.lit(width)))))
-    buckets = reps.select("rep", "n", band.alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
-    members = written(buckets.join(shared.select("band", "lead"), "band"))
-    star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(confirmed(likely(star, reps, percent), texts_of, percent, shingle))
-    roots = components(links)
-    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = written(placed.select("band", "rep", "n", "root"))
-    open_bands = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = placed.join(open_bands, "band", "left_semi")
-    right = rest.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    left = rest.select("band", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    more = left.join(right, "band").where(apart).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    found = confirmed(likely(more, reps, percent), texts_of, percent, shingle)
+        texts_of = texts_of.join(single.select("doc_id", "h"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id"])
+    reps = written(single.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    buckets = reps.select("rep", F.explode("bands").alias("band"))
+    shared = buckets.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
+    members = written(buckets.join(shared, "band").select("lead", "rep").distinct())
+    sets = written(full_sets(texts_of, members.select("rep").distinct(), shingle))
+    star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    roots = components(confirmed(likely(star, sets, percent), sets, percent))
+    found = remaining_links(members, roots, sets, percent)
     roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
     classes = reps.select("d1", "d2", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("root"))
     out = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
