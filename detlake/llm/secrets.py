@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from detlake.llm.frames import NO_ID
+from detlake.llm.frames import NO_ID, written
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def ownership(hits: DataFrame) -> DataFrame:
     so a value in a third of all documents reaches its task as one row per
     owner and repository of each map task.
     """
-    pairs = hits.select(F.sha2("value", 256).alias("key"), "owner", "repository").groupBy("key", "owner", "repository").agg(F.lit(1).alias("one"))
+    pairs = hits.select("key", "owner", "repository").groupBy("key", "owner", "repository").agg(F.lit(1).alias("one"))
     by_owner = pairs.groupBy("key", "owner").agg(F.count("*").alias("n"))
     known = F.col("owner").isNotNull().cast("int")
     n = by_owner.groupBy("key").agg(F.sum(known).alias("n_owners"), F.sum("n").alias("n_repositories"))
@@ -90,7 +90,7 @@ def ownership(hits: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """All spans with their value's ownership: base spans, and bare tokens that look live, are one owner's own and overlap no base span."""
     hits = candidates(docs, owner, repository)
-    hits = hits.where((F.col("kind") < len(BASE)) | live_looking(F.col("value"))).withColumn("key", F.sha2("value", 256))
+    hits = written(hits.where((F.col("kind") < len(BASE)) | live_looking(F.col("value"))).withColumn("key", F.sha2("value", 256)))
     joined = hits.join(ownership(hits), "key")
     joined = joined.withColumn("live", live_looking(F.col("value")))
     w = Window.partitionBy("doc_id", "h").orderBy("start", "kind")
