@@ -1 +1 @@
-"""."""
+"""Detection-evaluation analytics as Spark plans."""

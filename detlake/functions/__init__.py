@@ -1 +1 @@
-"""."""
+"""Scalar functions: geometry and masks."""

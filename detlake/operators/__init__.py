@@ -1 +1 @@
-"""."""
+"""Evaluation and dataset operators."""

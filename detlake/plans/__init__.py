@@ -1 +1 @@
-"""."""
+"""Queries over the derived scene."""

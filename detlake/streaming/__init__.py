@@ -1 +1 @@
-"""."""
+"""Incremental ingestion of detections."""
