@@ -64,10 +64,10 @@ def calibration_errors(bins: DataFrame) -> DataFrame:
     return bins.groupBy(*keys).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"), F.sum("n").alias("n_detections"))
 
 
-def average_precision(rows: DataFrame, npig: DataFrame, keys: list[str], order: list[Column], n_r: int = 101) -> DataFrame:
-    """keys, ap of rows with tp and fp (0 or 1); recalls over 1 count as reached everywhere. npig: keys and npig."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    up, down = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def average_precision(rows: DataFrame, npig: DataFrame, keys: list[str], order: list[str], n_r: int = 101) -> DataFrame:
+    """keys, ap of rows with tp and fp (0 or 1), by score descending, then order; recalls over 1 count as reached everywhere. npig: keys and npig."""
+    up = Window.partitionBy(*keys).orderBy(F.col("score").desc(), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*keys).orderBy(F.col("score").asc(), *(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = rows.withColumn("tp_sum", F.sum("tp").over(up)).withColumn("fp_sum", F.sum("fp").over(up))
     p = F.when(F.col("tp_sum") + F.col("fp_sum") == 0, 0.0).otherwise(F.col("tp_sum") / (F.col("tp_sum") + F.col("fp_sum")))
     hits = sums.withColumn("envelope", F.max(p).over(down)).where("tp = 1").join(npig, keys).where("npig > 0")
@@ -120,7 +120,7 @@ def error_deltas(typed: DataFrame, missed: DataFrame, npig: DataFrame) -> DataFr
     fake = missed.select(F.lit("Miss").alias("scenario"), "category_id", F.lit(2.0).alias("score"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("missed"))).alias("image_id"), F.lit(0).alias("rank"), F.lit(1).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     n = npig.where("a = 0").select("category_id", "npig")
     grid = n.select("*", F.explode(F.array(*(F.lit(x) for x, _, _ in _SCENARIOS))).alias("scenario"))
-    ap = average_precision(rows.unionByName(fake), grid, ["scenario", "category_id"], [F.col("score").desc(), F.col("image_id"), F.col("rank")])
+    ap = average_precision(rows.unionByName(fake), grid, ["scenario", "category_id"], ["image_id", "rank"])
     mean = ap.groupBy("scenario").agg(F.avg("ap").alias("ap"))
     base = mean.where("scenario = 'base'").select(F.col("ap").alias("base"))
     delta = mean.crossJoin(F.broadcast(base)).select(F.col("scenario").alias("error"), F.when(F.col("scenario") == "base", F.col("ap")).otherwise(F.col("ap") - F.col("base")).alias("delta_ap"))
@@ -144,7 +144,7 @@ def image_diagnostics(dt_status: DataFrame, gt_status: DataFrame) -> DataFrame:
     d = dt_status.groupBy("image_id").agg(F.count_if("is_tp").alias("tp"), F.count_if(~F.col("is_tp")).alias("fp"))
     g = gt_status.groupBy("image_id").agg(F.count_if(~F.col("is_matched")).alias("fn"))
     n = d.join(g, "image_id", "full_outer").fillna(0, ["tp", "fp", "fn"])
-    ap = average_precision(dt_status.select("image_id", "category_id", "rank", "score", F.col("is_tp").cast("long").alias("tp"), (~F.col("is_tp")).cast("long").alias("fp")), n.select("image_id", (F.col("tp") + F.col("fn")).alias("npig")), ["image_id"], [F.col("score").desc(), F.col("category_id"), F.col("rank")])
+    ap = average_precision(dt_status.select("image_id", "category_id", "rank", "score", F.col("is_tp").cast("long").alias("tp"), (~F.col("is_tp")).cast("long").alias("fp")), n.select("image_id", (F.col("tp") + F.col("fn")).alias("npig")), ["image_id"], ["category_id", "rank"])
     f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") == 0, 1.0).otherwise(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
     profile = F.when((F.col("fp") == 0) & (F.col("fn") == 0), "perfect").when(F.col("fp") > 2 * F.col("fn"), "fp_heavy").when(F.col("fn") > 2 * F.col("fp"), "fn_heavy").otherwise("mixed")
     empty = F.when(F.col("fp") == 0, 1.0).otherwise(0.0)

@@ -32,7 +32,8 @@ def curve(dt_eval: DataFrame, npig: DataFrame, params: Params, keys: tuple[str,
     up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = rows.select(*part, "score", "image_id", "rank", *(F.sum(f"{c}{t}").over(up).alias(f"{c}{t}") for t in range(n_t) for c in ("tp", "fp")), *(F.col(f"tp{t}").alias(f"is{t}") for t in range(n_t)))
     precision = [F.when(F.col(f"tp{t}") + F.col(f"fp{t}") == 0, 0.0).otherwise(F.col(f"tp{t}") / (F.col(f"tp{t}") + F.col(f"fp{t}"))) for t in range(n_t)]
-    down = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # The suffix maximum as a running maximum in reverse order: a frame to the partition's end is computed anew for each row.
+    down = Window.partitionBy(*part).orderBy(F.col("score").asc(), F.col("image_id").desc(), F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     envelope = sums.select("*", *(F.max(p).over(down).alias(f"p{t}") for t, p in enumerate(precision)))
     each = F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"tp{t}").alias("tp"), F.col(f"is{t}").alias("is_tp"), F.col(f"p{t}").alias("precision")) for t in range(n_t)))
     hits = envelope.select(*part, "score", F.explode(F.filter(each, lambda x: x["is_tp"] == 1)).alias("x")).select(*part, "score", "x.*")

@@ -90,7 +90,7 @@ ORACLES = {
     "det_label_errors": f"""{_W}, {_ONE}, {_STATUS}, f AS (SELECT s.image_id, s.dt_id, s.category_id, s.score, x.x, x.y, x.w, x.h FROM d s JOIN dt x ON x.image_id = s.image_id AND x.id = s.dt_id WHERE NOT is_tp AND s.score >= 0.5),
  q AS (SELECT d.image_id, d.dt_id, g.id AS gt_id, g.category_id AS gt_category_id, NOT g.is_matched AND g.category_id <> d.category_id AS other, {_iou()} AS iou FROM f d JOIN g ON g.image_id = d.image_id),
  b AS (SELECT image_id, dt_id, arg_max({{'g': gt_id, 'c': gt_category_id, 'i': iou}}, [iou, -gt_id]) FILTER (other AND iou > 0) AS b, max(iou) AS top FROM q GROUP BY ALL), r AS (SELECT f.*, b, top FROM f LEFT JOIN b USING (image_id, dt_id))
- SELECT image_id, dt_id, category_id AS dt_category_id, round(score, 8) AS score, CASE WHEN b.i >= 0.5 THEN b.g END AS gt_id, CASE WHEN b.i >= 0.5 THEN b.c END AS gt_category_id, round(CASE WHEN b.i >= 0.5 THEN b.i ELSE 0 END, 8) AS iou, CASE WHEN b.i >= 0.5 THEN 'wrong_label' ELSE 'missing_annotation' END AS error FROM r WHERE coalesce(b.i >= 0.5, false) OR coalesce(top, 0) < 0.1""",
+ SELECT image_id, dt_id, category_id AS dt_category_id, round(score, 8) AS score, CASE WHEN b.i >= 0.5 THEN b.g ELSE -1 END AS gt_id, CASE WHEN b.i >= 0.5 THEN b.c ELSE -1 END AS gt_category_id, round(CASE WHEN b.i >= 0.5 THEN b.i ELSE 0 END, 8) AS iou, CASE WHEN b.i >= 0.5 THEN 'wrong_label' ELSE 'missing_annotation' END AS error FROM r WHERE coalesce(b.i >= 0.5, false) OR coalesce(top, 0) < 0.1""",
     "det_slices": f"""{_W}, {_ONE}, sl AS (SELECT 's' || id % 3 AS slice, id AS image_id FROM imgs UNION ALL SELECT '_overall', id FROM imgs), es AS (SELECT slice, ev.* FROM ev JOIN sl USING (image_id)), ns AS (SELECT slice, category_id, 0 AS a, count(*) FILTER (NOT iscrowd) AS npig FROM gt JOIN sl USING (image_id) GROUP BY ALL), {points('slice', 'x', 'es', 'ns', '(0, 100)')},
  v AS (SELECT slice, unnest(['AP', 'AP50']) AS metric, avg(ap) AS value FROM cellx GROUP BY slice) SELECT v.slice, v.metric, round(v.value, 8) AS value, round(v.value - o.value, 8) AS delta FROM v JOIN v o ON o.metric = v.metric AND o.slice = '_overall'""",
     "det_compare": f"{_W}, {_ONE}, {evaluation(1, 1, 'dt_b', 'gt', 'b')}, {_LAST}, {points('', 'b', 'evb', 'npigb', '(0, 100)')} SELECT unnest(['AP', 'AP50']) AS metric, round(x, 8) AS a, round(y, 8) AS b, round(y - x, 8) AS delta FROM (SELECT (SELECT avg(ap) FROM cell) AS x, (SELECT avg(ap) FROM cellb) AS y) q",

@@ -109,7 +109,8 @@ def det_image_diagnostics(spark, sf_dir):
 
 def det_label_errors(spark, sf_dir):
     s, rows, _ = _evaluated(spark, sf_dir, ONE)
-    return _rounded(analysis.label_errors(s["dt"], *analysis.statuses(rows, s["gt"], ONE)), "score", "iou")
+    got = analysis.label_errors(s["dt"], *analysis.statuses(rows, s["gt"], ONE))
+    return _rounded(got.fillna(-1, ["gt_id", "gt_category_id"]), "score", "iou")
 
 
 def det_slices(spark, sf_dir):
