@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detlake.llm.flat import chunks
 from detlake.llm.frames import by_batch, documents, held_out
 
 #: Lengths of the n-grams, and bits of their hashed index.
 ORDERS, BITS = (4, 5, 6), 20
 #: Bound of the labelled sample: documents of each class, by smallest hash of their ids.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 3_000
 #: A feature is kept if it is in so many training documents and among the strongest.
 LEAST_DOCS, FEATURES = 8, 30_000
 THRESHOLD = 0.3
@@ -55,6 +54,18 @@ def present(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarra
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
+def slices(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts of about ``size`` characters together, with the number of the first."""
+    at = n = 0
+    for i, x in enumerate(texts):
+        if i > at and n + len(x) > size:
+            yield at, texts[at:i]
+            at, n = i, 0
+        n += len(x)
+    if at < len(texts):
+        yield at, texts[at:]
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -98,27 +109,26 @@ class Classifier:
         y, share = np.array(toxic, np.float64), np.array(weight, np.float64)
         if not len(y) or y.min() == y.max():
             return cls.constant(float(np.average(y, weights=share)) if len(y) else 0.5)
-        rows, index = [], []
-        at = 0
-        for some in chunks([x.encode("utf-8", "surrogatepass") for x in texts], 4 << 20):
-            r, i = present([x.decode("utf-8", "surrogatepass") for x in some])
-            rows.append((r + at).astype(np.int32))
-            index.append(i.astype(np.int32))
-            at += len(some)
-        row, col = np.concatenate(rows), np.concatenate(index)
         width = 1 << BITS
-        with_1 = np.bincount(col, y[row], width)
-        n_docs = np.bincount(col, minlength=width)
-        with_0 = n_docs - with_1
+        with_1, n_docs = np.zeros(width), np.zeros(width)
+        for at, some in slices(texts):  # only counts are kept of all n-grams, pairs only of the chosen
+            row, col = present(some)
+            n_docs += np.bincount(col, minlength=width)
+            with_1 += np.bincount(col, y[row + at], width)
         n1, n0 = y.sum(), len(y) - y.sum()
-        ratio = np.log((with_1 + 1) / (n1 + 2)) - np.log((with_0 + 1) / (n0 + 2))
+        ratio = np.log((with_1 + 1) / (n1 + 2)) - np.log((n_docs - with_1 + 1) / (n0 + 2))
         strength = np.where(n_docs >= LEAST_DOCS, np.abs(ratio) * np.sqrt(n_docs), 0)
         chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
         chosen = chosen[strength[chosen] > 0]
-        place = np.full(width, -1, np.int32)
-        place[chosen] = np.arange(len(chosen))
-        kept = place[col] >= 0
-        row, col = row[kept], place[col[kept]]
+        keep = np.zeros(width, bool)
+        keep[chosen] = True
+        place = np.cumsum(keep, dtype=np.int32) - 1
+        rows, cols = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for at, some in slices(texts):
+            row, col = present(some, keep)
+            rows.append((row + at).astype(np.int32))
+            cols.append(place[col])
+        row, col = np.concatenate(rows), np.concatenate(cols)
         value = ratio[chosen]
         x, scale = value[col], share / share.sum()
         rate = 4.0 / (1e-9 + np.quantile(np.bincount(row, x**2, len(y)), 0.9))
