@@ -30,7 +30,7 @@ class Vocabulary:
         self.split = regex.compile(SPLIT)
         self._halves: dict[int, tuple[int, int] | None | bool] = {}
         self._pairs = Memory(lambda ab: self._compatible(*ab), 300_000)
-        self._pieces = Memory(lambda p: tuple(Prefixes(self, p.encode("utf-8")).tokens()), 100_000)
+        self.pieces = Memory(self._piece, 250_000)
 
     def halves(self, token: int) -> tuple[int, int] | None | bool:
         """The last merge of a token; None for a byte, False if merging its bytes never makes it."""
@@ -52,7 +52,13 @@ class Vocabulary:
         return self.rank[parts[0]], self.rank[parts[1]]
 
     def compatible(self, a: int, b: int) -> bool:
-        return self._pairs[a, b]
+        found = self._pairs.new.get((a, b))
+        return self._pairs[a, b] if found is None else found
+
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
+        """Ids of a piece, the same in decimals, and the bytes that they decode to."""
+        ids = tuple(Prefixes(self, piece.encode("utf-8")).tokens())
+        return ids, " ".join(map(str, ids)), self.decode(ids)
 
     def _compatible(self, a: int, b: int) -> bool:
         """Undo the merges on both sides, the latest first, and look for one across the boundary that comes sooner."""
@@ -69,14 +75,15 @@ class Vocabulary:
             else:
                 before, b = b + 1, right[0]
 
+    def encoded(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """Each piece's ids, decimals and decoded bytes; repeated pieces are encoded once while remembered."""
+        known, make = self.pieces.new.get, self.pieces.__getitem__
+        return [known(piece) or make(piece) for piece in self.split.findall(text)]
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, make = self._pieces.new.get, self._pieces.__getitem__
-        for piece in self.split.findall(text):
-            ids += known(piece) or make(piece)
-        return ids
+        return [i for ids, _, _ in self.encoded(text) for i in ids]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         table = self.bytes
         return b"".join([table[i] for i in ids])
 
@@ -103,9 +110,12 @@ class Prefixes:
 
     def _last(self, end: int) -> int:
         v, data, last = self.vocabulary, self.data, self.last
+        rank, halves = v.rank.get, v._halves
         for start in range(max(0, end - v.longest), end):
-            token = v.rank.get(data[start:end])
-            if token is not None and v.halves(token) is not False and (not start or v.compatible(last[start - 1], token)):
+            token = rank(data[start:end])
+            if token is None:
+                continue
+            if (halves[token] if token in halves else v.halves(token)) is not False and (not start or v.compatible(last[start - 1], token)):
                 return token
         raise ValueError(f"no token for byte {data[end - 1]!r}")
 
@@ -156,15 +166,14 @@ def encode_documents(docs: DataFrame, ranks: str, keep_ids: bool = False) -> Dat
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(ranks)
-        digits = {i: str(i) for i in v.bytes}
         n, ids_hash, text_hash, kept = [], [], [], []
         for text in batch.column("text").to_pylist():
-            ids = v.encode(text or "")
-            n.append(len(ids))
-            ids_hash.append(hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest())
-            text_hash.append(hashlib.sha256(v.decode(ids)).hexdigest())
+            pieces = v.encoded(text or "")
+            n.append(sum([len(ids) for ids, _, _ in pieces]))
+            ids_hash.append(hashlib.sha256(" ".join([x for _, x, _ in pieces]).encode()).hexdigest())
+            text_hash.append(hashlib.sha256(b"".join([x for _, _, x in pieces])).hexdigest())
             if keep_ids:
-                kept.append(ids)
+                kept.append([i for ids, _, _ in pieces for i in ids])
         columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
         if keep_ids:
             columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
