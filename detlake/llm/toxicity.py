@@ -54,7 +54,7 @@ def present(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarra
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def slices(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def slices(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about ``size`` characters together, with the number of the first."""
     at = n = 0
     for i, x in enumerate(texts):
@@ -129,17 +129,22 @@ class Classifier:
             rows.append((row + at).astype(np.int32))
             cols.append(place[col])
         row, col = np.concatenate(rows), np.concatenate(cols)
-        value = ratio[chosen]
-        x, scale = value[col], share / share.sum()
-        rate = 4.0 / (1e-9 + np.quantile(np.bincount(row, x**2, len(y)), 0.9))
+        value, scale = ratio[chosen], share / share.sum()
+        blocks = [slice(i, i + (1 << 20)) for i in range(0, len(row), 1 << 20)]  # bounds what one step allocates
+
+        def by_text(by_feature: np.ndarray) -> np.ndarray:
+            return sum((np.bincount(row[b], by_feature[col[b]], len(y)) for b in blocks), np.zeros(len(y)))
+
+        def by_feature(by_text: np.ndarray) -> np.ndarray:
+            return sum((np.bincount(col[b], by_text[row[b]], len(chosen)) for b in blocks), np.zeros(len(chosen)))
+
+        rate = 4.0 / (1e-9 + np.quantile(by_text(value**2), 0.9))
 
         def descend(part: np.ndarray) -> tuple[np.ndarray, float]:
-            here = part[row]
-            r, c, v, s = row[here], col[here], x[here], scale * part
             w, b, move, move_b = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen)), 0.0
             for _ in range(steps):
-                gap = (sigmoid(np.bincount(r, w[c] * v, len(y)) + b) - y) * s
-                move = 0.9 * move + np.bincount(c, gap[r] * v, len(chosen)) + penalty * w
+                gap = (sigmoid(by_text(w * value) + b) - y) * scale * part
+                move = 0.9 * move + value * by_feature(gap) + penalty * w
                 move_b = 0.9 * move_b + gap.sum()
                 w, b = w - rate * move, b - rate * move_b
             return w, b
@@ -149,7 +154,7 @@ class Classifier:
         margin = np.zeros(len(y))
         for part in (half, ~half):
             w, b = descend(part)
-            margin[~part] = (np.bincount(row, w[col] * x, len(y)) + b)[~part]
+            margin[~part] = (by_text(w * value) + b)[~part]
         w, b = descend(np.ones(len(y), bool))
         slope, shift = calibrate(margin, y, share)
         out = np.zeros(width, np.float32)
