@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import pyarrow as pa
 import regex
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame
 from detlake.llm.frames import by_batch, documents
 from detlake.llm.tokens import SPLIT, Memory
 
+#: Slots for remembered token pairs, as a power of two.
+PAIR_BITS = 20
+
 
 class Vocabulary:
     """A rank file, and which tokens may stand next to each other.
@@ -29,8 +33,8 @@ class Vocabulary:
         self.longest = max(map(len, self.rank))
         self.split = regex.compile(SPLIT)
         self._halves: dict[int, tuple[int, int] | None | bool] = {}
-        self._pairs = Memory(lambda ab: self._compatible(*ab), 300_000)
-        self.pieces = Memory(self._piece, 250_000)
+        self._pairs = array("q", [-1]) * (1 << PAIR_BITS)  # one remembered pair for each slot: ids and verdict in one number
+        self.pieces = Memory(self._piece, 210_000)
 
     def halves(self, token: int) -> tuple[int, int] | None | bool:
         """The last merge of a token; None for a byte, False if merging its bytes never makes it."""
@@ -52,13 +56,18 @@ class Vocabulary:
         return self.rank[parts[0]], self.rank[parts[1]]
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self._pairs.new.get((a, b))
-        return self._pairs[a, b] if found is None else found
-
-    def _piece(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
-        """Ids of a piece, the same in decimals, and the bytes that they decode to."""
-        ids = tuple(Prefixes(self, piece.encode("utf-8")).tokens())
-        return ids, " ".join(map(str, ids)), self.decode(ids)
+        key = a << 24 | b
+        slot = (a * 40503 ^ b * 30011) & (1 << PAIR_BITS) - 1
+        found = self._pairs[slot]
+        if found >> 1 != key:
+            found = self._pairs[slot] = key << 1 | self._compatible(a, b)
+        return found & 1
+
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        """Ids of a piece in decimals, and the bytes that they decode to."""
+        data = piece.encode("utf-8")
+        ids = [self.rank[data]] if data in self.rank else Prefixes(self, data).tokens()
+        return " ".join(map(str, ids)), self.decode(ids)
 
     def _compatible(self, a: int, b: int) -> bool:
         """Undo the merges on both sides, the latest first, and look for one across the boundary that comes sooner."""
@@ -75,13 +84,13 @@ class Vocabulary:
             else:
                 before, b = b + 1, right[0]
 
-    def encoded(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
-        """Each piece's ids, decimals and decoded bytes; repeated pieces are encoded once while remembered."""
+    def encoded(self, text: str) -> list[tuple[str, bytes]]:
+        """Each piece's ids in decimals and decoded bytes; repeated pieces are encoded once while remembered."""
         known, make = self.pieces.new.get, self.pieces.__getitem__
         return [known(piece) or make(piece) for piece in self.split.findall(text)]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.encoded(text) for i in ids]
+        return [int(i) for ids, _ in self.encoded(text) for i in ids.split()]
 
     def decode(self, ids) -> bytes:
         table = self.bytes
@@ -169,11 +178,12 @@ def encode_documents(docs: DataFrame, ranks: str, keep_ids: bool = False) -> Dat
         n, ids_hash, text_hash, kept = [], [], [], []
         for text in batch.column("text").to_pylist():
             pieces = v.encoded(text or "")
-            n.append(sum([len(ids) for ids, _, _ in pieces]))
-            ids_hash.append(hashlib.sha256(" ".join([x for _, x, _ in pieces]).encode()).hexdigest())
-            text_hash.append(hashlib.sha256(b"".join([x for _, _, x in pieces])).hexdigest())
+            ids = " ".join([x for x, _ in pieces])
+            n.append(ids.count(" ") + 1 if ids else 0)
+            ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
+            text_hash.append(hashlib.sha256(b"".join([x for _, x in pieces])).hexdigest())
             if keep_ids:
-                kept.append([i for ids, _, _ in pieces for i in ids])
+                kept.append(list(map(int, ids.split())))
         columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
         if keep_ids:
             columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
