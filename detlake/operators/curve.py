@@ -27,7 +27,8 @@ def curve(dt_eval: DataFrame, npig: DataFrame, params: Params, keys: tuple[str,
     n_t, ms = len(params.iou_thrs), list(params.max_dets)
     caps = F.filter(F.array(*(F.struct(F.lit(i).alias("m"), F.lit(x).alias("cap")) for i, x in enumerate(ms))), lambda x: F.col("rank") <= x["cap"])
     part = [*keys, "category_id", "a", "m"]
-    rows = dt_eval.select(*keys, "category_id", "a", F.explode(F.transform(caps, lambda x: x["m"])).alias("m"), "score", "image_id", "rank", *(c for t in range(n_t) for c in ((F.col("matched")[t] & ~F.col("ignored")[t]).cast("long").alias(f"tp{t}"), (~F.col("matched")[t] & ~F.col("ignored")[t]).cast("long").alias(f"fp{t}"))))
+    counted = dt_eval.where(F.exists("ignored", lambda x: ~x))  # what is ignored at every threshold changes no sum
+    rows = counted.select(*keys, "category_id", "a", F.explode(F.transform(caps, lambda x: x["m"])).alias("m"), "score", "image_id", "rank", *(c for t in range(n_t) for c in ((F.col("matched")[t] & ~F.col("ignored")[t]).cast("long").alias(f"tp{t}"), (~F.col("matched")[t] & ~F.col("ignored")[t]).cast("long").alias(f"fp{t}"))))
     w = Window.partitionBy(*part).orderBy(F.col("score").desc(), "image_id", "rank")
     up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = rows.select(*part, "score", "image_id", "rank", *(F.sum(f"{c}{t}").over(up).alias(f"{c}{t}") for t in range(n_t) for c in ("tp", "fp")), *(F.col(f"tp{t}").alias(f"is{t}") for t in range(n_t)))

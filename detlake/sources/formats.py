@@ -14,7 +14,7 @@ _STEM = r"([^/]*?)(\.[^./]*)?$"
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """file, stem, line number and text of all lines of text files."""
-    files = spark.read.text(path, wholetext=True).select("_metadata.file_name", "value")
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("file_name"), F.decode("content", "UTF-8").alias("value"))
     return files.select("file_name", F.regexp_extract("file_name", _STEM, 1).alias("stem"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
 
 
@@ -33,7 +33,10 @@ def read_yolo(spark: SparkSession, path: str, dims: DataFrame | None = None) ->
     names = [x.strip().strip("'\"") for x in re.search(r"names:\s*\[(.*?)\]", yaml, re.S)[1].split(",") if x.strip()]
     cats = spark.createDataFrame([(i + 1, n, None) for i, n in enumerate(names)], "id bigint, name string, supercategory string")
     lines = _lines(spark, f"{path}/*.txt")
-    images = _with_ids(lines.select("stem").distinct())
+    stems = lines.select("stem")
+    if dims is not None:  # Spark doesn't list empty files; dims names their images
+        stems = stems.unionByName(dims.select("stem"))
+    images = _with_ids(stems.distinct())
     if dims is not None:
         images = images.join(dims, "stem", "left")
     else:
