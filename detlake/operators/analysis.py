@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from detlake.functions.geometry import box, box_iou
 from detlake.operators import curve, metrics
-from detlake.operators.matching import evaluate, match, ranked, total
+from detlake.operators.matching import Pairs, box_pairs, evaluate, ignored_always, match, ranked, total
 from detlake.operators.params import Params
 from detlake.operators.ranking import numbered
 
@@ -101,7 +101,7 @@ def error_types(gt: DataFrame, dt: DataFrame, dt_eval: DataFrame, params: Params
     typed = out.where("error is not null")
     covered = typed.where("covered is not null").select("image_id", F.col("covered").alias("id")).distinct()
     _, lo, hi = params.areas[0]
-    countable = gt.where(~F.coalesce("iscrowd", F.lit(False)) & F.coalesce("area", F.lit(0.0)).between(lo, hi)).select("image_id", "id", "category_id")
+    countable = gt.where(~ignored_always(gt) & F.coalesce("area", F.lit(0.0)).between(lo, hi)).select("image_id", "id", "category_id")
     free = countable.join(taken.select("image_id", F.col("gt_id").alias("id")), ["image_id", "id"], "left_anti").join(covered, ["image_id", "id"], "left_anti")
     return out, free.groupBy("category_id").agg(F.count("*").alias("missed"))
 
@@ -134,7 +134,7 @@ def statuses(dt_eval: DataFrame, gt: DataFrame, params: Params, iou_thr: float =
     t = snap(params, iou_thr)
     rows = dt_eval.where(F.col("a") == 0).where(~F.col("ignored")[t]).select("image_id", "category_id", "dt_id", "score", "rank", F.col("matched")[t].alias("is_tp"), F.col("gt")[t].alias("gt_id"))
     _, lo, hi = params.areas[0]
-    countable = gt.where(~F.coalesce("iscrowd", F.lit(False)) & F.coalesce("area", F.lit(0.0)).between(lo, hi))
+    countable = gt.where(~ignored_always(gt) & F.coalesce("area", F.lit(0.0)).between(lo, hi))
     taken = rows.where("is_tp").select("image_id", F.col("gt_id").alias("id"), F.lit(True).alias("is_matched"))
     return rows, countable.join(taken, ["image_id", "id"], "left").fillna(False, ["is_matched"])
 
@@ -198,14 +198,14 @@ def draw(seed: int, sample: Column, number: Column, n: Column) -> Column:
     return (x * 48271 + 11) % 2147483647 % n
 
 
-def compare(gt: DataFrame, dt_a: DataFrame, dt_b: DataFrame, params: Params, n_bootstrap: int = 0, seed: int = 42, confidence: float = 0.95, table=metrics.BOX) -> DataFrame:
+def compare(gt: DataFrame, dt_a: DataFrame, dt_b: DataFrame, params: Params, n_bootstrap: int = 0, seed: int = 42, confidence: float = 0.95, table=metrics.BOX, pairs: Pairs = box_pairs) -> DataFrame:
     """metric, a, b, delta (0 where a side is -1) and, from bootstrap samples of images, lower, upper, prob_positive, std_err.
 
     A sample is the set of distinct images among n draws with replacement.
     Images get numbers by a distributed ranking; each sample is one more
     grouping key, so all samples are one plan and matching isn't repeated.
     """
-    parts = [evaluate(gt, d, params) for d in (dt_a, dt_b)]
+    parts = [evaluate(gt, d, params, pairs) for d in (dt_a, dt_b)]
     rows = parts[0][0].withColumn("model", F.lit("a")).unionByName(parts[1][0].withColumn("model", F.lit("b")))
     counts = parts[0][1]
     images = gt.select("image_id").unionByName(dt_a.select("image_id")).distinct().intersect(gt.select("image_id").unionByName(dt_b.select("image_id")).distinct())
@@ -232,7 +232,7 @@ def compare(gt: DataFrame, dt_a: DataFrame, dt_b: DataFrame, params: Params, n_b
     return point.join(spread, "metric").select("metric", "a", "b", "delta", F.col("d")[low].alias("lower"), F.col("d")[high].alias("upper"), "prob_positive", "std_err")
 
 
-def federated(gt: DataFrame, dt: DataFrame, images: DataFrame, params: Params | None = None) -> tuple[DataFrame, DataFrame]:
+def federated(gt: DataFrame, dt: DataFrame, images: DataFrame, params: Params | None = None, pairs: Pairs = box_pairs) -> tuple[DataFrame, DataFrame]:
     """Evaluation with partial annotation: images has id, neg_category_ids and not_exhaustive_category_ids.
 
     Detections of a category that isn't annotated in their image, and not
@@ -243,7 +243,7 @@ def federated(gt: DataFrame, dt: DataFrame, images: DataFrame, params: Params |
     annotated = gt.select("image_id", "category_id").distinct()
     absent = images.select(F.col("id").alias("image_id"), F.explode("neg_category_ids").alias("category_id"))
     dt = dt.join(annotated.unionByName(absent).distinct(), ["image_id", "category_id"], "left_semi")
-    rows, counts = evaluate(gt, dt, params)
+    rows, counts = evaluate(gt, dt, params, pairs)
     open_ = images.select(F.col("id").alias("image_id"), F.explode("not_exhaustive_category_ids").alias("category_id")).distinct().withColumn("open", F.lit(True))
     rows = rows.join(open_, ["image_id", "category_id"], "left")
     ignored = F.transform("ignored", lambda x, i: x | (F.coalesce("open", F.lit(False)) & ~F.col("matched")[i]))
@@ -272,13 +272,11 @@ def group_of(dt_eval: DataFrame, pairs: DataFrame, params: Params) -> DataFrame:
     return rows.select("image_id", "category_id", "a", "rank", "dt_id", "score", gt.alias("gt"), now.alias("matched"), ignored.alias("ignored"))
 
 
-def open_images(gt: DataFrame, dt: DataFrame, params: Params | None = None) -> tuple[DataFrame, DataFrame]:
+def open_images(gt: DataFrame, dt: DataFrame, params: Params | None = None, pairs: Pairs = box_pairs) -> tuple[DataFrame, DataFrame]:
     """Evaluation with group-of boxes: they count as no ground truth, absorb any number of detections as matches, and crowds are plain boxes."""
-    from detlake.operators.matching import box_pairs
-
     params = params or Params.open_images()
     grouped = F.coalesce("is_group_of", F.lit(False))
     plain = gt.where(~grouped).withColumn("iscrowd", F.lit(False))
-    rows, counts = evaluate(plain, dt, params)
+    rows, counts = evaluate(plain, dt, params, pairs)
     groups = gt.where(grouped).withColumn("iscrowd", F.lit(False))
-    return group_of(rows, box_pairs(ranked(dt, params), groups), params), counts
+    return group_of(rows, pairs(ranked(dt, params), groups), params), counts

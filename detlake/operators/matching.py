@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from detlake.functions.geometry import box, box_iou
 from detlake.operators.params import Params
 
+#: Detections and ground truth to their pairs with similarity.
+Pairs = Callable[[DataFrame, DataFrame], DataFrame]
+
 
 def ranked(dt: DataFrame, params: Params) -> DataFrame:
     """Detections with area and rank in their image and category: score descending, then id; cut at the last max_det."""
@@ -28,13 +31,18 @@ def pooled(gt: DataFrame, params: Params) -> DataFrame:
     return gt if params.use_cats else gt.withColumn("category_id", F.lit(-1).cast("bigint"))
 
 
+def ignored_always(gt: DataFrame) -> Column:
+    """Ground truth that is ignored in every area range: column ``ignore`` where there is one, else crowds."""
+    return F.col("ignore") if "ignore" in gt.columns else F.coalesce("iscrowd", F.lit(False))
+
+
 def box_pairs(dt: DataFrame, gt: DataFrame) -> DataFrame:
     """All pairs of an image and category with their IoU: an equi-join, then arithmetic.
 
     The box overlap test is a filter on the join, so pairs that don't touch
     never become rows.
     """
-    right = gt.select("image_id", "category_id", F.col("id").alias("gt_id"), *(F.col(c).alias(f"g{c}") for c in "xywh"), F.coalesce("iscrowd", F.lit(False)).alias("crowd"), F.coalesce("area", F.lit(0.0)).alias("gt_area"))
+    right = gt.select("image_id", "category_id", F.col("id").alias("gt_id"), *(F.col(c).alias(f"g{c}") for c in "xywh"), F.coalesce("iscrowd", F.lit(False)).alias("crowd"), ignored_always(gt).alias("ignore"), F.coalesce("area", F.lit(0.0)).alias("gt_area"))
     touch = (F.col("x") < F.col("gx") + F.col("gw")) & (F.col("gx") < F.col("x") + F.col("w")) & (F.col("y") < F.col("gy") + F.col("gh")) & (F.col("gy") < F.col("y") + F.col("h"))
     return dt.join(right, ["image_id", "category_id"]).where(touch).withColumn("iou", box_iou(box(), box("g"), F.col("crowd")))
 
@@ -66,9 +74,10 @@ def _greedy(rank: np.ndarray, gt: np.ndarray, iou: np.ndarray, free: np.ndarray,
 def match(pairs: DataFrame, params: Params) -> DataFrame:
     """Matches of each area range: image_id, category_id, a, rank, gt (array over thresholds, 0-based ground truth id or null), gt_ignored.
 
-    ``pairs`` has image_id, category_id, rank, gt_id, iou, crowd and gt_area;
-    only pairs at the least threshold or over can match, others are dropped
-    before the shuffle.  Groups stream through sorted partitions.  A group
+    ``pairs`` has image_id, category_id, rank, gt_id, iou, crowd (can be taken
+    again), ignore (in every range; as crowd where it lacks) and gt_area; only
+    pairs at the least threshold or over can match, others are dropped before
+    the shuffle.  Groups stream through sorted partitions.  A group
     where no detection and no ground truth has two partners needs no fold:
     its pairs are matches as they stand, for all groups of a batch at once.
     """
@@ -85,7 +94,7 @@ def match(pairs: DataFrame, params: Params) -> DataFrame:
         contended = ~np.bitwise_and.reduceat(alone, group)
         out = []
         for a, (lo, hi) in enumerate(areas):
-            ignored = t["crowd"] | (t["gt_area"] < lo) | (t["gt_area"] > hi)
+            ignored = t["ignore"] | (t["gt_area"] < lo) | (t["gt_area"] > hi)
             easy = np.flatnonzero(~contended[number])
             hit = t["iou"][easy, None] >= thrs[None, :]
             gts, igs = np.where(hit, t["gt_id"][easy, None], -1), hit & ignored[easy, None]
@@ -125,7 +134,8 @@ def match(pairs: DataFrame, params: Params) -> DataFrame:
         if held and len(held["rank"]):
             yield from emit(fold(held))
 
-    rows = pairs.where(F.col("iou") >= min(params.iou_thrs)).select("image_id", "category_id", "rank", "gt_id", "iou", "crowd", "gt_area")
+    ignore = F.col("ignore" if "ignore" in pairs.columns else "crowd").alias("ignore")
+    rows = pairs.where(F.col("iou") >= min(params.iou_thrs)).select("image_id", "category_id", "rank", "gt_id", "iou", "crowd", ignore, "gt_area")
     dealt = rows.repartition("image_id", "category_id").sortWithinPartitions("image_id", "category_id", "rank", "gt_id")
     return dealt.mapInArrow(run, "image_id bigint, category_id bigint, a int, rank int, gt array<bigint>, gt_ignored array<boolean>")
 
@@ -148,7 +158,7 @@ def evaluated(dt: DataFrame, matches: DataFrame, params: Params) -> DataFrame:
 
 def gt_counts(gt: DataFrame, params: Params) -> DataFrame:
     """image_id, category_id, a, npig: countable ground truth; sums of it give npig of any set of images."""
-    counts = [F.count_if(~F.coalesce("iscrowd", F.lit(False)) & F.coalesce("area", F.lit(0.0)).between(lo, hi)) for _, lo, hi in params.areas]
+    counts = [F.count_if(~ignored_always(gt) & F.coalesce("area", F.lit(0.0)).between(lo, hi)) for _, lo, hi in params.areas]
     return gt.groupBy("image_id", "category_id").agg(F.array(*counts).alias("n")).select("image_id", "category_id", F.posexplode("n").alias("a", "npig"))
 
 
@@ -156,7 +166,7 @@ def total(counts: DataFrame, *keys: str) -> DataFrame:
     return counts.groupBy(*keys, "category_id", "a").agg(F.sum("npig").alias("npig"))
 
 
-def evaluate(gt: DataFrame, dt: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
-    """(dt_eval, counts): detections as ``evaluated`` gives them, and ``gt_counts``."""
+def evaluate(gt: DataFrame, dt: DataFrame, params: Params, pairs: Pairs = box_pairs) -> tuple[DataFrame, DataFrame]:
+    """(dt_eval, counts): detections as ``evaluated`` gives them, and ``gt_counts``; ``pairs`` gives the similarity."""
     gt, dt = pooled(gt, params), ranked(dt, params)
-    return evaluated(dt, match(box_pairs(dt, gt), params), params), gt_counts(gt, params)
+    return evaluated(dt, match(pairs(dt, gt), params), params), gt_counts(gt, params)

@@ -10,6 +10,11 @@ from detlake.operators.params import Params
 #: name, average precision (or recall), threshold, area label, max_det entry.
 BOX = (("AP", True, None, "all", -1), ("AP50", True, 0.5, "all", -1), ("AP75", True, 0.75, "all", -1), ("APs", True, None, "small", -1), ("APm", True, None, "medium", -1), ("APl", True, None, "large", -1), ("AR1", False, None, "all", 0), ("AR10", False, None, "all", 1), ("AR100", False, None, "all", -1), ("ARs", False, None, "small", -1), ("ARm", False, None, "medium", -1), ("ARl", False, None, "large", -1))
 KEYPOINTS = (("AP", True, None, "all", -1), ("AP50", True, 0.5, "all", -1), ("AP75", True, 0.75, "all", -1), ("APm", True, None, "medium", -1), ("APl", True, None, "large", -1), ("AR", False, None, "all", -1), ("AR50", False, 0.5, "all", -1), ("AR75", False, 0.75, "all", -1), ("ARm", False, None, "medium", -1), ("ARl", False, None, "large", -1))
+#: Tables of the federated mode (with APr, APc and APf from ``analysis.frequency_ap`` after the sizes) and the group-of mode.
+FEDERATED = (*BOX[:6], ("AR@300", False, None, "all", -1), ("ARs@300", False, None, "small", -1), ("ARm@300", False, None, "medium", -1), ("ARl@300", False, None, "large", -1))
+OPEN_IMAGES = (("AP", True, 0.5, "all", -1),)
+#: The federated metrics in the order in which they are shown.
+FEDERATED_ORDER = ("AP", "AP50", "AP75", "APs", "APm", "APl", "APr", "APc", "APf", "AR@300", "ARs@300", "ARm@300", "ARl@300")
 
 
 def summary(cells: DataFrame, params: Params, table=BOX, keys: tuple[str, ...] = ()) -> DataFrame:

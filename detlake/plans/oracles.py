@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from detlake.operators.params import OKS_SIGMAS
 from detlake.scene import CTES
 
 _AREAS = "(VALUES (0, 0.0::DOUBLE, 1e10::DOUBLE), (1, 0.0::DOUBLE, 1024.0::DOUBLE), (2, 1024.0::DOUBLE, 9216.0::DOUBLE), (3, 9216.0::DOUBLE, 1e10::DOUBLE)) v(a, lo, hi)"
@@ -13,20 +14,24 @@ def _iou(crowd: str = "false") -> str:
     return f"(CASE WHEN {crowd} THEN {inter} / (d.w * d.h) ELSE {inter} / (d.w * d.h + g.w * g.h - {inter}) END)"
 
 
-def evaluation(n_t: int = 10, n_a: int = 4, dt: str = "dt", gt: str = "gt", s: str = "", cap: int = 100) -> str:
-    """CTEs dtr, ev (a row per detection, area and threshold) and npig, with a suffix to their names."""
+def evaluation(n_t: int = 10, n_a: int = 4, dt: str = "dt", gt: str = "gt", s: str = "", cap: int = 100, pairs: str = "", ignore: str = "iscrowd", only: str = "true") -> str:
+    """CTEs dtr, ev (a row per detection, area and threshold) and npig, with a suffix to their names.
+
+    pairs replaces the box pairs, ignore says what ground truth counts nowhere, only picks area ranges.
+    """
+    pairs = pairs or f"SELECT d.image_id, d.category_id, d.rank, g.id AS gt_id, g.iscrowd AS crowd, g.{ignore} AS skip, g.area AS gt_area, {_iou('g.iscrowd')} AS iou FROM dtr{s} d JOIN {gt} g ON d.image_id = g.image_id AND d.category_id = g.category_id WHERE d.x < g.x + g.w AND g.x < d.x + d.w AND d.y < g.y + g.h AND g.y < d.y + d.h"
     return f"""
 dtr{s} AS (SELECT * FROM (SELECT *, w * h AS area, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, id) AS rank FROM {dt}) q WHERE rank <= {cap}),
-ar{s} AS (SELECT * FROM {_AREAS} WHERE a < {n_a}), th{s} AS (SELECT t::INTEGER AS t, 0.5::DOUBLE + 0.05::DOUBLE * t AS thr FROM range({n_t}) q(t)),
-pr{s} AS (SELECT d.image_id, d.category_id, d.rank, g.id AS gt_id, g.iscrowd AS crowd, g.area AS gt_area, {_iou('g.iscrowd')} AS iou FROM dtr{s} d JOIN {gt} g ON d.image_id = g.image_id AND d.category_id = g.category_id WHERE d.x < g.x + g.w AND g.x < d.x + d.w AND d.y < g.y + g.h AND g.y < d.y + d.h),
-cd{s} AS (SELECT image_id, category_id, rank, a, list({{'gt': gt_id, 'iou': iou, 'crowd': crowd, 'ig': crowd OR gt_area < lo OR gt_area > hi}} ORDER BY (crowd OR gt_area < lo OR gt_area > hi), iou DESC, gt_id DESC) AS c FROM pr{s}, ar{s} WHERE iou >= 0.5 GROUP BY ALL),
+ar{s} AS (SELECT * FROM {_AREAS} WHERE a < {n_a} AND {only}), th{s} AS (SELECT t::INTEGER AS t, 0.5::DOUBLE + 0.05::DOUBLE * t AS thr FROM range({n_t}) q(t)),
+pr{s} AS ({pairs}),
+cd{s} AS (SELECT image_id, category_id, rank, a, list({{'gt': gt_id, 'iou': iou, 'crowd': crowd, 'ig': skip OR gt_area < lo OR gt_area > hi}} ORDER BY (skip OR gt_area < lo OR gt_area > hi), iou DESC, gt_id DESC) AS c FROM pr{s}, ar{s} WHERE iou >= 0.5 GROUP BY ALL),
 nx{s} AS (SELECT *, row_number() OVER (PARTITION BY image_id, category_id, a ORDER BY rank) AS n FROM cd{s}),
 mt{s} AS (SELECT image_id, category_id, a, t, thr, 0::BIGINT AS n, 0::BIGINT AS rank, []::BIGINT[] AS used, NULL::BIGINT AS gt, false AS ig FROM (SELECT DISTINCT image_id, category_id, a FROM nx{s}), th{s}
  UNION ALL SELECT image_id, category_id, a, t, thr, n, rank, CASE WHEN p IS NULL THEN used ELSE list_append(used, p.gt) END, p.gt, coalesce(p.ig, false)
  FROM (SELECT m.image_id, m.category_id, m.a, m.t, m.thr, x.n, x.rank, m.used, list_filter(x.c, lambda e: e.iou >= m.thr AND (e.crowd OR NOT list_contains(m.used, e.gt)))[1] AS p FROM mt{s} m JOIN nx{s} x ON x.image_id = m.image_id AND x.category_id = m.category_id AND x.a = m.a AND x.n = m.n + 1) q),
 ev{s} AS (SELECT d.image_id, d.category_id, d.rank, d.id AS dt_id, d.score, ar.a, th.t, m.gt, m.gt IS NOT NULL AS matched, CASE WHEN m.gt IS NULL THEN d.area < ar.lo OR d.area > ar.hi ELSE m.ig END AS ignored
  FROM dtr{s} d CROSS JOIN ar{s} ar CROSS JOIN th{s} th LEFT JOIN (SELECT * FROM mt{s} WHERE gt IS NOT NULL) m ON m.image_id = d.image_id AND m.category_id = d.category_id AND m.rank = d.rank AND m.a = ar.a AND m.t = th.t),
-npig{s} AS (SELECT category_id, a, count(*) FILTER (NOT iscrowd AND area BETWEEN lo AND hi) AS npig FROM {gt}, ar{s} GROUP BY category_id, a)"""
+npig{s} AS (SELECT category_id, a, count(*) FILTER (NOT {ignore} AND area BETWEEN lo AND hi) AS npig FROM {gt}, ar{s} GROUP BY category_id, a)"""
 
 
 def points(keys: str = "", s: str = "", ev: str = "ev", npig: str = "npig", caps: str = "(0, 1), (1, 10), (2, 100)") -> str:
@@ -57,6 +62,13 @@ _BINS = "least(greatest(floor(score * 10), 0), 9)::INTEGER"
 _LAST = points(caps="(0, 100)")
 _STATUS = """d AS (SELECT image_id, category_id, dt_id, score, rank, matched AS is_tp, gt FROM ev WHERE NOT ignored), g AS (SELECT gt.*, u.gt IS NOT NULL AS is_matched FROM gt LEFT JOIN (SELECT image_id, gt FROM ev WHERE NOT ignored AND matched) u ON u.image_id = gt.image_id AND u.gt = gt.id WHERE NOT iscrowd)"""
 _STEPS = ("Cls", "Loc", "Both", "Dupe", "Bkg")
+#: Boxes cut at the image.
+_CLIP = "greatest(x, 0) AS x, greatest(y, 0) AS y, greatest(0, least(x + w, 680) - greatest(x, 0)) AS w, greatest(0, least(y + h, 500) - greatest(y, 0)) AS h"
+#: Keypoint pairs of the scene: point i lies at (7 i mod w, 5 i mod h) in its box.
+_OKS = """SELECT d.image_id, d.category_id, d.rank, g.id AS gt_id, g.iscrowd AS crowd, g.skip, g.area AS gt_area, CASE WHEN g.id % 7 = 0
+ THEN list_sum(list_transform(range(17), lambda i: exp(-(pow(greatest(0, g.x - g.w - (d.x + (i * 7) % d.w)) + greatest(0, d.x + (i * 7) % d.w - (g.x + 2 * g.w)), 2) + pow(greatest(0, g.y - g.h - (d.y + (i * 5) % d.h)) + greatest(0, d.y + (i * 5) % d.h - (g.y + 2 * g.h)), 2)) / pow(2 * k.s[i + 1], 2) / (g.area + 2.220446049250313e-16) / 2))) / 17
+ ELSE list_sum(list_transform(range(17), lambda i: CASE WHEN (g.id + i) % 3 > 0 THEN exp(-(pow(d.x + (i * 7) % d.w - g.x - (i * 7) % g.w, 2) + pow(d.y + (i * 5) % d.h - g.y - (i * 5) % g.h, 2)) / pow(2 * k.s[i + 1], 2) / (g.area + 2.220446049250313e-16) / 2) ELSE 0 END)) / len(list_filter(range(17), lambda i: (g.id + i) % 3 > 0)) END AS iou
+ FROM dtr d JOIN gtk g ON d.image_id = g.image_id AND d.category_id = g.category_id, (SELECT """ + f"{OKS_SIGMAS}" + """::DOUBLE[] AS s) k"""
 ORACLES = {
     "det_summary": f"{_W}, {evaluation()}, {points()} {_table(_SUMMARY, 'cell')}",
     "det_pooled_summary": f"{_W}, gtp AS (SELECT * REPLACE (-1 AS category_id) FROM gt), dtp AS (SELECT * REPLACE (-1 AS category_id) FROM dt), {evaluation(1, 4, 'dtp', 'gtp')}, {points()} {_table({k: _SUMMARY[k] for k in ('AP', 'AP50')}, 'cell')}",
@@ -97,6 +109,10 @@ ORACLES = {
     "det_federated": f"""{_W}, dk AS (SELECT * FROM dt WHERE (image_id, category_id) IN (SELECT image_id, category_id FROM gt UNION ALL SELECT id, 1 + id % 4 FROM imgs)), {evaluation(1, 1, 'dk')}, eo AS (SELECT * REPLACE (ignored OR (NOT matched AND category_id = 1 + (image_id + 1) % 4) AS ignored) FROM ev), {points('', 'x', 'eo', 'npig', '(0, 100)')} SELECT category_id, round(avg(ap), 8) AS ap FROM cellx GROUP BY category_id""",
     "det_open_images": f"""{_W}, gp AS (SELECT * REPLACE (false AS iscrowd) FROM gt WHERE id % 31 <> 0), gg AS (SELECT * FROM gt WHERE id % 31 = 0), {evaluation(1, 1, 'dt', 'gp')}, gm AS (SELECT DISTINCT d.image_id, d.category_id, d.rank FROM dtr d JOIN gg g ON d.image_id = g.image_id AND d.category_id = g.category_id WHERE {_iou()} >= 0.5)
  SELECT ev.category_id, count(*) FILTER (matched OR gm.rank IS NOT NULL) AS n_matched, count(*) AS n, any_value(npig) AS npig FROM ev LEFT JOIN gm ON gm.image_id = ev.image_id AND gm.category_id = ev.category_id AND gm.rank = ev.rank JOIN npig ON npig.category_id = ev.category_id GROUP BY ev.category_id""",
+    "det_masks": f"""{_W}, gtm AS (SELECT id, image_id, category_id, {_CLIP}, area, iscrowd FROM gt), dtm AS (SELECT id, image_id, category_id, {_CLIP}, score FROM dt), {evaluation(dt="dtm", gt="gtm")}, {points()} {_table(_SUMMARY, 'cell')}""",
+    "det_keypoints": f"""{_W}, gtk AS (SELECT *, iscrowd OR id % 7 = 0 AS skip FROM gt), {evaluation(dt="dt", gt="gtk", cap=20, pairs=_OKS, ignore="skip", only="a <> 1")}, {points(caps="(0, 20)")}
+ {_table({'AP': 'avg(ap) FILTER (a = 0)', 'AP50': 'avg(ap) FILTER (a = 0 AND t = 0)', 'AP75': 'avg(ap) FILTER (a = 0 AND t = 5)', 'APm': 'avg(ap) FILTER (a = 2)', 'APl': 'avg(ap) FILTER (a = 3)', 'AR': 'avg(recall) FILTER (a = 0)', 'AR50': 'avg(recall) FILTER (a = 0 AND t = 0)', 'AR75': 'avg(recall) FILTER (a = 0 AND t = 5)', 'ARm': 'avg(recall) FILTER (a = 2)', 'ARl': 'avg(recall) FILTER (a = 3)'}, 'cell')}""",
+    "det_frequency": f"{_W}, {_ONE}, {_LAST}, f AS (SELECT CASE category_id WHEN 1 THEN 'r' WHEN 2 THEN 'c' ELSE 'f' END AS f, avg(ap) AS ap FROM cell GROUP BY category_id) SELECT 'AP' || f AS metric, round(avg(ap), 8) AS value FROM f GROUP BY f",
     "det_hierarchy": f"{_W}, anc AS (SELECT * FROM (VALUES (1, 5), (2, 5), (3, 6), (4, 6), (1, 7), (2, 7), (3, 7), (4, 7)) v(c, up)), ex AS (SELECT DISTINCT image_id, up, x, y, w, h FROM gt JOIN anc ON c = category_id) SELECT category_id, count(*) AS n, count(DISTINCT id) AS n_ids FROM gt GROUP BY 1 UNION ALL SELECT up, count(*), count(*) FROM ex GROUP BY 1",
     "ds_stats": f"{_W} SELECT unnest(['images', 'width_min', 'width_max', 'width_mean', 'width_median', 'height_min', 'height_max', 'height_mean', 'height_median', 'annotations', 'crowds', 'area_min', 'area_max', 'area_mean', 'area_median', 'categories']) AS metric, round(unnest([ni, 680, 680, 680, 680, 500, 500, 500, 500, na, nc, a1, a2, a3, a4, 4]::DOUBLE[]), 8) AS value FROM (SELECT (SELECT count(*) FROM imgs) AS ni, count(*) AS na, count(*) FILTER (iscrowd) AS nc, min(area) AS a1, max(area) AS a2, avg(area) AS a3, median(area) AS a4 FROM gt) q",
     "ds_category_stats": f"{_W} SELECT c.id AS category_id, c.name, count(gt.id) AS n_annotations, count(DISTINCT gt.image_id) AS n_images, count(*) FILTER (gt.iscrowd) AS n_crowds FROM cats c LEFT JOIN gt ON gt.category_id = c.id GROUP BY ALL",
@@ -112,3 +128,22 @@ ORACLES = {
     "ds_detection_health": f"{_W}, x AS (SELECT id, image_id, category_id, CASE WHEN id % 101 = 0 THEN NULL WHEN id % 103 = 0 THEN 1.5 ELSE score END AS score FROM dt) SELECT 'dt_orphan_image_id' AS code, id FROM x WHERE image_id NOT IN (SELECT image_id FROM gt WHERE category_id <> 4) UNION ALL SELECT 'dt_orphan_category_id', id FROM x WHERE category_id = 4 UNION ALL SELECT 'dt_missing_score', id FROM x WHERE score IS NULL UNION ALL SELECT 'dt_score_out_of_range', id FROM x WHERE score < 0 OR score > 1",
     "ds_near_duplicates": f"{_W} SELECT DISTINCT a.id FROM gt a JOIN gt b ON a.image_id = b.image_id AND a.category_id = b.category_id AND a.id <> b.id WHERE {_IOU.format(a='a.', b='b.')} / (a.w * a.h + b.w * b.h - {_IOU.format(a='a.', b='b.')}) > 0.85",
 }
+_UNROUNDED = ORACLES["det_image_diagnostics"].replace(", 8) AS f1", ", 20) AS f1")
+_FLIP = ORACLES["det_confusion"], ORACLES["det_image_diagnostics"], ORACLES["det_label_errors"]
+_GALLERY = f"(SELECT *, row_number() OVER (ORDER BY fp + fn DESC, image_id) - 1 AS position FROM ({_FLIP[1]}) q WHERE image_id % 2 = 0 AND fp + fn > 0 AND image_id IN ({_W} SELECT image_id FROM gt WHERE category_id IN (1, 3)))"
+ORACLES |= {
+    "det_headlines": f"SELECT row_number() OVER (ORDER BY o) AS position, metric, value FROM (SELECT list_position(['AP', 'AP50', 'AP75', 'AR100'], metric) AS o, * FROM ({ORACLES['det_summary']}) q) r WHERE o > 0",
+    "det_named_aps": f"SELECT 'val/AP/cat' || category_id AS metric, ap AS value FROM ({ORACLES['det_per_category']}) q",
+    "det_f1_histogram": f"SELECT profile, least(floor(f1 * 20), 19)::INT AS bin, count(*) AS n FROM ({_UNROUNDED}) q GROUP BY ALL",
+    "det_f1_buckets": f"SELECT CASE WHEN f1 < 0.5 THEN 'low' WHEN f1 > 0.8 THEN 'high' ELSE 'middle' END AS bucket, count(*) AS n FROM ({_UNROUNDED}) q GROUP BY ALL",
+    "det_worst_images": f"SELECT * REPLACE (round(f1, 8) AS f1) FROM ({_UNROUNDED}) q ORDER BY q.f1, image_id LIMIT 20",
+    "det_error_classes": f"SELECT error, dt_category_id, count(*) AS n FROM ({_FLIP[2]}) q GROUP BY ALL",
+    "det_mean_curve": f"{_W}, {_ONE}, {_LAST}, g AS (SELECT r::INTEGER AS r, category_id FROM range(101) q(r), npig WHERE npig > 0), p AS (SELECT g.r, avg(coalesce(env, 0)) AS p FROM g LEFT JOIN sa ON sa.r = g.r AND sa.category_id = g.category_id GROUP BY g.r) SELECT r, round(p, 8) AS precision, round(2 * p * (r / 100.0::DOUBLE) / greatest(p + r / 100.0::DOUBLE, 1e-8), 8) AS f1 FROM p",
+    "det_top_confusions": f"SELECT gt_category_id, dt_category_id, n FROM ({_FLIP[0]}) q WHERE gt_category_id <> dt_category_id ORDER BY n DESC, 1, 2 LIMIT 6",
+    "det_rolled_confusion": f"SELECT CASE WHEN gt_category_id < 0 THEN 'background' WHEN gt_category_id % 2 = 0 THEN 'even' ELSE 'odd' END AS gt_group, CASE WHEN dt_category_id < 0 THEN 'background' WHEN dt_category_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dt_group, sum(n)::BIGINT AS n FROM ({_FLIP[0]}) q GROUP BY ALL",
+    "det_report_counts": f"{_W} SELECT id AS category_id, name, (SELECT count(*) FROM gt WHERE category_id = cats.id) AS n_annotations, (SELECT count(DISTINCT image_id) FROM gt WHERE category_id = cats.id) AS n_images, (SELECT count(*) FROM dt WHERE category_id = cats.id) AS n_detections FROM cats",
+    "det_gallery": f"SELECT image_id, position, coalesce(lag(image_id) OVER (ORDER BY position), -1) AS prev_id, coalesce(lead(image_id) OVER (ORDER BY position), -1) AS next_id FROM {_GALLERY} q",
+    "det_image_view": f"""{_W}, {_ONE}, u AS (SELECT * FROM ev WHERE NOT ignored), v AS (SELECT 'gt' AS source, gt.image_id, gt.category_id, gt.id, NULL::DOUBLE AS score, CASE WHEN gt.iscrowd THEN 'none' WHEN u.gt IS NULL THEN 'fn' ELSE 'tp' END AS status, coalesce(u.dt_id, -1) AS matched_id FROM gt LEFT JOIN (SELECT * FROM u WHERE matched) u ON u.image_id = gt.image_id AND u.gt = gt.id
+ UNION ALL SELECT 'dt', dt.image_id, dt.category_id, dt.id, dt.score, CASE WHEN u.dt_id IS NULL THEN 'none' WHEN u.matched THEN 'tp' ELSE 'fp' END, coalesce(CASE WHEN u.matched THEN u.gt END, -1) FROM dt LEFT JOIN u ON u.image_id = dt.image_id AND u.dt_id = dt.id WHERE dt.score >= 0.3)
+ SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY source DESC, coalesce(score, 0) DESC, category_id, id) AS position, source, id, 'cat' || category_id AS category, coalesce(round(score, 4), -1) AS score, status, matched_id FROM v""",
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from detlake.operators import analysis, curve, metrics
+from detlake.operators import analysis, curve, metrics, reports, similarity
 from detlake.operators.dataset import Dataset, detection_health, health, health_summary, merge, near_duplicates
 from detlake.operators.hierarchy import Hierarchy, expand
 from detlake.operators.matching import evaluate, total
@@ -151,6 +151,108 @@ def det_hierarchy(spark, sf_dir):
     return got.groupBy("category_id").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
 
 
+def _aps(gt, dt, params, pairs, table):
+    rows, counts = evaluate(gt, dt, params, pairs)
+    n = total(counts)
+    return _rounded(metrics.summary(curve.cells(curve.curve(rows, n, params), n, params), params, table), "value")
+
+
+def det_masks(spark, sf_dir):
+    """Polygons where a box with an even id lies inside the image, boxes as masks elsewhere."""
+    s = scene(spark, sf_dir)
+    x2, y2 = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    inside = (F.col("id") % 2 == 0) & (F.col("x") >= 0) & (F.col("y") >= 0) & (x2 <= 680) & (y2 <= 500)
+    polygon = F.to_json(F.array(F.array("x", "y", x2, "y", x2, y2, "x", y2)))
+    gt, dt = (similarity.with_masks(s[k].withColumn("segmentation", F.when(inside, polygon)), s["imgs"]) for k in ("gt", "dt"))
+    return _aps(gt, dt.withColumn("area", F.col("mask.area").cast("double")), P, similarity.mask_pairs, metrics.BOX)
+
+
+def _points(df: DataFrame) -> DataFrame:
+    """17 keypoints spread over the box; every seventh id has none visible."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.array(F.col("x") + (i * 7) % F.col("w"), F.col("y") + (i * 5) % F.col("h"), F.when(F.col("id") % 7 == 0, 0).otherwise((F.col("id") + i) % 3).cast("double")))
+    return df.withColumn("keypoints", F.flatten(at)).withColumn("num_keypoints", F.size(F.filter("keypoints", lambda v, j: (j % 3 == 2) & (v > 0))))
+
+
+def det_keypoints(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    return _aps(similarity.keypoint_ignored(_points(s["gt"])), _points(s["dt"]), Params.keypoints(), similarity.keypoint_pairs(), metrics.KEYPOINTS)
+
+
+def det_rotated(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    turn = lambda df: df.withColumn("obb", F.array(F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, "w", "h", (F.col("id") % 1000 % 12) * F.lit(0.2617993877991494)))
+    return _aps(turn(s["gt"]), turn(s["dt"]), P, similarity.rotated_pairs, metrics.BOX)
+
+
+def det_frequency(spark, sf_dir):
+    s, rows, counts = _evaluated(spark, sf_dir, ONE)
+    n = total(counts)
+    cats = s["cats"].withColumn("frequency", F.element_at(F.array(F.lit("r"), F.lit("c"), F.lit("f"), F.lit("f")), F.col("id").cast("int")))
+    return _rounded(analysis.frequency_ap(curve.cells(curve.curve(rows, n, ONE), n, ONE), cats, ONE), "value")
+
+
+def det_headlines(spark, sf_dir):
+    return reports.headlines(det_summary(spark, sf_dir))
+
+
+def det_named_aps(spark, sf_dir):
+    return reports.named_aps(det_per_category(spark, sf_dir), scene(spark, sf_dir)["cats"], "val")
+
+
+def _diagnosed(spark, sf_dir):
+    s, rows, _ = _evaluated(spark, sf_dir, ONE)
+    status = analysis.statuses(rows, s["gt"], ONE)
+    return s, status, analysis.image_diagnostics(*status)
+
+
+def det_f1_histogram(spark, sf_dir):
+    return reports.f1_histogram(_diagnosed(spark, sf_dir)[2])
+
+
+def det_f1_buckets(spark, sf_dir):
+    return reports.f1_buckets(_diagnosed(spark, sf_dir)[2])
+
+
+def det_worst_images(spark, sf_dir):
+    return _rounded(reports.worst_images(_diagnosed(spark, sf_dir)[2]), "f1", "ap")
+
+
+def det_error_classes(spark, sf_dir):
+    return reports.error_classes(det_label_errors(spark, sf_dir))
+
+
+def det_mean_curve(spark, sf_dir):
+    points, n = _curve(spark, sf_dir, ONE)
+    return _rounded(reports.mean_curve(curve.samples(points, ONE), n, ONE), "precision", "f1")
+
+
+def det_top_confusions(spark, sf_dir):
+    return reports.top_confusions(det_confusion(spark, sf_dir), 6)
+
+
+def det_rolled_confusion(spark, sf_dir):
+    return reports.rolled_up(det_confusion(spark, sf_dir), scene(spark, sf_dir)["cats"])
+
+
+def det_report_counts(spark, sf_dir):
+    d, dt = dataset(spark, sf_dir)
+    return reports.report_counts(d, dt)
+
+
+def det_gallery(spark, sf_dir):
+    """Images of a slice with errors, most errors first."""
+    s, _, found = _diagnosed(spark, sf_dir)
+    d = Dataset(s["imgs"], s["gt"], s["cats"])
+    chosen = s["imgs"].where("id % 2 = 0").select(F.col("id").alias("image_id"))
+    return reports.gallery(d, found, ["cat1", "cat3", "no such name"], chosen, "has_errors", "worst").na.fill(-1, ["prev_id", "next_id"])
+
+
+def det_image_view(spark, sf_dir):
+    s, status, _ = _diagnosed(spark, sf_dir)
+    got = reports.image_view(Dataset(s["imgs"], s["gt"], s["cats"]), s["dt"], status, 0.3)
+    return got.select("image_id", "position", "source", "id", "category", F.coalesce("score", F.lit(-1.0)).alias("score"), F.coalesce("status", F.lit("none")).alias("status"), F.coalesce("matched_id", F.lit(-1)).alias("matched_id"))
+
+
 def ds_stats(spark, sf_dir):
     d, _ = dataset(spark, sf_dir)
     return _rounded(d.stats(), "value")
@@ -209,5 +311,5 @@ def ds_near_duplicates(spark, sf_dir):
     return near_duplicates(dataset(spark, sf_dir)[0].annotations, thr=0.85)
 
 
-_ALL = [det_summary, det_pooled_summary, det_per_category, det_pr_samples, det_f_scores, det_matches, det_pairs, det_confusion, det_calibration, det_calibration_errors, det_error_types, det_image_diagnostics, det_label_errors, det_slices, det_compare, det_bootstrap, det_federated, det_open_images, det_hierarchy, ds_stats, ds_category_stats, ds_tree, ds_ann_ids, ds_filter, ds_split, ds_sample, ds_merge, ds_health, ds_health_summary, ds_detection_health, ds_near_duplicates]
+_ALL = [det_summary, det_pooled_summary, det_per_category, det_pr_samples, det_f_scores, det_matches, det_pairs, det_confusion, det_calibration, det_calibration_errors, det_error_types, det_image_diagnostics, det_label_errors, det_slices, det_compare, det_bootstrap, det_federated, det_open_images, det_hierarchy, det_masks, det_keypoints, det_rotated, det_frequency, det_headlines, det_named_aps, det_f1_histogram, det_f1_buckets, det_worst_images, det_error_classes, det_mean_curve, det_top_confusions, det_rolled_confusion, det_report_counts, det_gallery, det_image_view, ds_stats, ds_category_stats, ds_tree, ds_ann_ids, ds_filter, ds_split, ds_sample, ds_merge, ds_health, ds_health_summary, ds_detection_health, ds_near_duplicates]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
