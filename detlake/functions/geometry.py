@@ -45,6 +45,11 @@ def rotated_from_corners(points: list[tuple[Column, Column]]) -> tuple[Column, C
     return (x0 + x1 + x2 + x3) / 4, (y0 + y1 + y2 + y3) / 4, edge(x0, y0, x1, y1), edge(x1, y1, x2, y2), F.atan2(y1 - y0, x1 - x0)
 
 
+def every(values: Column, step: int, first: int) -> Column:
+    """The elements at positions first, first + step, ... of an array."""
+    return F.filter(values, lambda _, i: i % step == first)
+
+
 def polygon_area(xy: Column) -> Column:
     """Shoelace area of a flat x, y, x, y, ... array; 0 under three points."""
     n = F.floor(F.size(xy) / 2).cast("int")

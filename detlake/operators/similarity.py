@@ -42,6 +42,20 @@ def _mask(segmentation: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h:
     return pd.DataFrame(rows, columns=["h", "w", "counts", "x", "y", "bw", "bh", "area"])
 
 
+def packed_extent(segmentation: pd.Series) -> pd.DataFrame:
+    """Area and box of run lengths given as text; null for any other segmentation."""
+    rows = []
+    for s in segmentation:
+        try:
+            doc = json.loads(s) if s else None
+            packed = isinstance(doc, dict) and isinstance(doc.get("counts"), str)
+        except ValueError:
+            packed = False
+        m = rle_of(s, None, 0, 0) if packed else None
+        rows.append((None, None) if m is None else (float(masks.area(m[2])), masks.to_bbox(*m)))
+    return pd.DataFrame(rows, columns=["area", "bbox"])
+
+
 def with_masks(rows: DataFrame, images: DataFrame) -> DataFrame:
     """Rows with their ``mask``. Rows without an image have none; the mask of a bad segmentation has null counts."""
     if "segmentation" not in rows.columns:

@@ -8,6 +8,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from detlake.functions.geometry import every, rotated_bounds
 from detlake.operators.dataset import Dataset
 
 IMAGE = "id bigint, file_name string, height int, width int, license bigint, coco_url string, flickr_url string, date_captured string, neg_category_ids array<bigint>, not_exhaustive_category_ids array<bigint>"
@@ -73,14 +74,17 @@ def detections(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("area", F.get(b, F.lit(2)) * F.get(b, F.lit(3))).withColumn("iscrowd", F.lit("false"))
         x, y, x2, y2 = b[0], b[1], b[0] + b[2], b[1] + b[3]
         rows = rows.withColumn("segmentation", F.coalesce("segmentation", F.to_json(F.array(F.array(x, y, x, y2, x2, y2, x2, y)))))
+    elif first and first[0]["segmentation"] is not None and first[0]["keypoints"] is None:
+        from detlake.operators.similarity import packed_extent
+
+        found = F.pandas_udf(packed_extent, "area double, bbox array<double>")("segmentation")
+        rows = rows.withColumn("_f", found).withColumn("area", F.coalesce("_f.area", "area")).withColumn("bbox", F.coalesce("bbox", "_f.bbox")).drop("_f").withColumn("iscrowd", F.lit("false"))
     elif first and first[0]["keypoints"] is not None:
-        xs, ys = (F.filter(F.col("keypoints"), lambda v, i, k=k: i % 3 == k) for k in (0, 1))
+        xs, ys = every(F.col("keypoints"), 3, 0), every(F.col("keypoints"), 3, 1)
         x, y = F.array_min(xs), F.array_min(ys)
         w, h = F.array_max(xs) - x, F.array_max(ys) - y
         rows = rows.withColumn("bbox", F.array(x, y, w, h)).withColumn("area", w * h).withColumn("iscrowd", F.lit("false"))
     elif first and first[0]["obb"] is not None:
-        from detlake.functions.geometry import rotated_bounds
-
         o = [F.col("obb")[i] for i in range(5)]
         rows = rows.withColumn("bbox", F.array(*rotated_bounds(*o))).withColumn("area", o[2] * o[3]).withColumn("iscrowd", F.lit("false"))
     return normalised(rows)
@@ -92,22 +96,39 @@ def warn_unknown(dt: DataFrame, d: Dataset) -> None:
             warnings.warn(f"detections name ids that {table} lacks", stacklevel=2)
 
 
+def _elements(d: Dataset) -> dict[str, DataFrame]:
+    """JSON text of every row by section; segmentations as JSON, absent options as null."""
+    anns = d.annotations
+    box = F.when(F.col("x").isNotNull(), F.array(*"xywh")).alias("bbox")
+    shape = [F.try_parse_json("segmentation").alias("segmentation")] if "segmentation" in anns.columns else []
+    anns = anns.select(*(c for c in anns.columns if c not in (*"xywh", "segmentation")), box, *shape)
+    pack = lambda df: df.select("id", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    return {"images": pack(d.images), "annotations": pack(anns), "categories": pack(d.categories)}
+
+
 def write(d: Dataset, path: str) -> None:
-    """One JSON document per part: each annotation, image and category is a line-sized element of its section.
+    """A folder with one JSON document.
 
     The document is one object, so its sections are gathered; Parquet is the
     format for datasets that one task can't hold (``write_tables``).
     """
-    anns = d.annotations
-    box = F.when(F.col("x").isNotNull(), F.array(*"xywh")).alias("bbox")
-    anns = anns.select(*(c for c in anns.columns if c not in "xywh"), box)
-    # to_json drops nulls; absent options are written as null.
-    pack = lambda df, name: df.agg(F.collect_list(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias(name))
-    row = pack(d.images, "images").crossJoin(pack(anns, "annotations")).crossJoin(pack(d.categories, "categories"))
+    gathered = [df.agg(F.collect_list("value").alias(name)) for name, df in _elements(d).items()]
+    row = gathered[0].crossJoin(gathered[1]).crossJoin(gathered[2])
     text = F.concat(F.lit('{"images":['), F.array_join("images", ","), F.lit('],"annotations":['), F.array_join("annotations", ","), F.lit('],"categories":['), F.array_join("categories", ","), F.lit("]}"))
     row.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def save(d: Dataset, path: str) -> None:
+    """One JSON file on the driver's disk, in order of ids; rows stream there a partition at a time."""
+    with open(path, "w", encoding="utf-8") as f:
+        for i, (name, rows) in enumerate(_elements(d).items()):
+            f.write(("," if i else "{") + json.dumps(name) + ":[\n")
+            for j, r in enumerate(rows.orderBy("id").toLocalIterator()):
+                f.write((",\n" if j else "") + r["value"])
+            f.write("]")
+        f.write("}\n")
+
+
 def write_tables(d: Dataset, path: str) -> None:
     for name in ("images", "annotations", "categories"):
         getattr(d, name).write.mode("overwrite").parquet(f"{path}/{name}")

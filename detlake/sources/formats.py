@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from detlake.functions.geometry import corners, every, polygon_area, rotated_bounds, rotated_from_corners
 from detlake.operators.dataset import Dataset
 
 _STEM = r"([^/]*?)(\.[^./]*)?$"
@@ -114,8 +115,6 @@ def read_dota(spark: SparkSession, path: str, dims: DataFrame | None = None) ->
     rows = rows.where(" and ".join(f"c{i} is not null" for i in range(8))).join(images.select(F.col("id").alias("image_id"), "stem"), "stem")
     first = rows.groupBy("name").agg(F.min(F.struct("image_id", "line")).alias("at"))
     cats = first.select(F.row_number().over(Window.orderBy("at")).cast("bigint").alias("id"), "name", F.lit(None).cast("string").alias("supercategory"))
-    from detlake.functions.geometry import rotated_bounds, rotated_from_corners
-
     obb = rotated_from_corners([(F.col(f"c{2 * i}"), F.col(f"c{2 * i + 1}")) for i in range(4)])
     rows = rows.join(F.broadcast(cats.select(F.col("id").alias("category_id"), "name")), "name").select("image_id", "line", "category_id", "difficult", F.array(*obb).alias("obb"))
     x, y, w, h = rotated_bounds(*(F.col("obb")[i] for i in range(5)))
@@ -131,11 +130,9 @@ def read_cvat(spark: SparkSession, path: str, labels: list[str] | None = None) -
     boxes = images.select(F.col("id").alias("image_id"), F.posexplode("box").alias("line", "b")).select("image_id", "line", F.col("b._label").alias("name"), F.col("b._xtl").alias("x"), F.col("b._ytl").alias("y"), (F.col("b._xbr") - F.col("b._xtl")).alias("w"), (F.col("b._ybr") - F.col("b._ytl")).alias("h"), F.lit(None).cast("array<double>").alias("xy"))
     numbers = F.transform(F.split(F.regexp_replace("p._points", ";", ","), ","), lambda v: F.trim(v).cast("double"))
     polys = images.select(F.col("id").alias("image_id"), F.posexplode("polygon").alias("line", "p")).select("image_id", (F.col("line") + (1 << 20)).alias("line"), F.col("p._label").alias("name"), numbers.alias("xy"))
-    xs, ys = (F.filter(F.col("xy"), lambda v, i, k=k: i % 2 == k) for k in (0, 1))
+    xs, ys = every(F.col("xy"), 2, 0), every(F.col("xy"), 2, 1)
     polys = polys.select("image_id", "line", "name", F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"), "xy")
     shapes = boxes.unionByName(polys)
-    from detlake.functions.geometry import polygon_area
-
     names = labels or sorted(r[0] for r in shapes.select("name").distinct().collect())
     cats = spark.createDataFrame([(i + 1, n, None) for i, n in enumerate(names)], "id bigint, name string, supercategory string")
     area = F.when(F.col("xy").isNull(), F.col("w") * F.col("h")).otherwise(polygon_area(F.coalesce("xy", F.array().cast("array<double>"))))
@@ -144,10 +141,51 @@ def read_cvat(spark: SparkSession, path: str, labels: list[str] | None = None) -
     return Dataset(images.drop("box", "polygon"), _numbered(rows), cats)
 
 
+def cvat_rows(d: Dataset) -> DataFrame:
+    """image_id, text: an ``image`` element with its shapes for every image.
+
+    Polygons are preferred to the box; those of under four numbers, unknown
+    categories and annotations without geometry are left out.
+    """
+    two = lambda x: F.format_string("%.2f", x)
+    attr = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
+
+    def esc(c):
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    label = attr("label", esc(F.col("name")))
+    end = F.lit(' occluded="0"/>')
+    point = lambda p, i: F.concat_ws(",", two(F.get(p, 2 * i)), two(F.get(p, 2 * i + 1)))
+    points = lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / 2).cast("int") - 1), lambda i: point(p, i)), ";")
+    anns = d.annotations if "segmentation" in d.annotations.columns else d.annotations.withColumn("segmentation", F.lit(None).cast("string"))
+    rows = anns.join(F.broadcast(d.categories.select(F.col("id").alias("category_id"), "name")), "category_id")
+    rows = rows.withColumn("polygons", F.when(F.ltrim("segmentation").startswith("["), F.from_json("segmentation", "array<array<double>>")))
+    polygon = F.transform(F.filter("polygons", lambda p: F.size(p) >= 4), lambda p: F.concat(F.lit("<polygon"), label, attr("points", points(p)), end))
+    box = F.concat(F.lit("<box"), label, attr("xtl", two(F.col("x"))), attr("ytl", two(F.col("y"))), attr("xbr", two(F.col("x") + F.col("w"))), attr("ybr", two(F.col("y") + F.col("h"))), end)
+    shape = F.when(F.col("polygons").isNotNull(), F.array_join(polygon, "")).when(F.col("w").isNotNull(), box)
+    shapes = rows.withColumn("t", shape).where("t is not null").groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "t"))), lambda s: s["t"]), "").alias("shapes"))
+    im = d.images.select(F.col("id").alias("image_id"), "file_name", "width", "height").join(shapes, "image_id", "left")
+    head = F.concat(F.lit("<image"), attr("id", F.col("image_id").cast("string")), attr("name", esc(F.coalesce("file_name", F.lit("")))), attr("width", F.col("width").cast("string")), attr("height", F.col("height").cast("string")), F.lit(">"))
+    return im.select("image_id", F.concat(head, F.coalesce("shapes", F.lit("")), F.lit("</image>")).alias("text"))
+
+
+def write_cvat(d: Dataset, path: str) -> None:
+    """One document. Images stream to the driver, which writes it, a partition at a time."""
+    from xml.sax.saxutils import escape
+
+    names = [r["name"] for r in d.categories.orderBy("id").select("name").collect()]
+    labels = "".join(f"<label><name>{escape(n)}</name></label>" for n in names)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"<annotations><version>1.1</version><meta><task><labels>{labels}</labels></task></meta>\n")
+        for r in cvat_rows(d).orderBy("image_id").toLocalIterator():
+            f.write(r["text"] + "\n")
+        f.write("</annotations>\n")
+
+
 def dota_rows(d: Dataset) -> DataFrame:
     """stem, text: corner lines of every image with rotated boxes (column obb)."""
-    from detlake.functions.geometry import corners
-
     one = lambda x: F.format_string("%.1f", x)
     im = d.images.select(F.col("id").alias("image_id"), F.regexp_extract("file_name", _STEM, 1).alias("stem"))
     rows = d.annotations.where("obb is not null").join(F.broadcast(d.categories.select(F.col("id").alias("category_id"), "name")), "category_id", "left")
