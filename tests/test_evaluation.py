@@ -135,7 +135,7 @@ def test_modes_reports_and_documents(spark, tmp_path):
     assert [r["image_id"] for r in order] in ([1, 2], [2, 1]) and order[0]["next_id"] == order[1]["image_id"] and order[0]["prev_id"] is None
     assert reports.gallery(d, names=["nothing"], seed=3).count() == 2
     assert {r["slice"] for r in e.sliced({"one": [1]}).collect()} == {"one", "_overall"}
-    assert all(r["delta"] == 0 for r in e.compare(Evaluation(d, dt)).collect())
+    assert all(r["delta"] == pytest.approx(0, abs=1e-12) for r in e.compare(Evaluation(d, dt)).collect())
     with pytest.raises(ValueError):
         e.sliced(slice_rows(spark, {"_overall": [1]}))
     with pytest.raises(ValueError):
