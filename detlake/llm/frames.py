@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id where ids are ordered: after all others.
 NO_ID = (1 << 63) - 1
+#: Keys with at least one in so many of all rows are joined by broadcast; there are at most as many.
+HEAVY = 1_000
 
 
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
@@ -19,30 +23,64 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, which outlives lost executors.
+def _shared(spark: SparkSession) -> str:
+    """The folder for tables in between: the checkpoint folder, set by the cluster or by SparkContext.setCheckpointDir.
 
-    The folder is spark.checkpoint.dir of the session; only where that is
-    unset (a local test) a folder under the warehouse is taken.
+    Only a local session without one (a test) takes a folder under its
+    warehouse; on a cluster that would be no shared one, so it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return folder.rstrip("/")
+
+
+_made: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a compressed Parquet table in the shared folder, where it is read more than once."""
+    """df as a compressed Parquet table in the shared folder, where it is read more than once or its lineage is cut.
+
+    Its result may be read at any later time, so the table stays until
+    ``discard`` is called or the driver ends.
+    """
     spark = df.sparkSession
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    path = f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
+    path = f"{_shared(spark)}/t-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _made:
+        atexit.register(discard)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard() -> None:
+    """Deletes the tables that ``written`` has made in this driver; DataFrames over them can't be read any more."""
+    while _made:
+        spark, path = _made.pop()
+        if spark.sparkContext._jsc is None:
+            continue  # the session has ended
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        except (Py4JError, OSError):
+            pass  # the driver's end is no time to fail
+
+
+def join_spread(rows: DataFrame, by_key: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined to by_key (one row a key, with n, its number of rows), without n; no key's rows meet in one task for it.
+
+    Keys that hold a HEAVY-th or more of the rows are at most HEAVY: these
+    are broadcast.  All others are joined by key.
+    """
+    total = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
+    heavy, light = (by_key.where(x).drop("n") for x in (F.col("n") * HEAVY >= total, F.col("n") * HEAVY < total))
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions that the cluster's settings ask for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

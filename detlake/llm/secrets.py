@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from detlake.llm.frames import NO_ID, written
+from detlake.llm.frames import NO_ID, join_spread, written
 
 
 @dataclass(frozen=True)
@@ -54,16 +54,30 @@ def found(text: Column, kind: Kind, number: int) -> Column:
 
 
 def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
-    """doc_id, h (text hash), owner, repository, kind, start, end, value of every match that is long enough."""
+    """doc_id, h (text hash), owner, repository and every match of any length, with the hash of its value as key.
+
+    ``counts`` says whether a match is long enough and, if it is a bare
+    token, looks live: only these are spans or are counted for ownership.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"))
     arrays = [F.coalesce(found(F.col("text"), k, i), F.array()) for i, k in enumerate(KINDS)]
     hits = rows.select("doc_id", F.xxhash64("text").alias("h"), "owner", "repository", F.explode(F.concat(*arrays)).alias("m")).select("doc_id", "h", "owner", "repository", "m.*")
-    w = Window.partitionBy("doc_id", "h", "kind").orderBy("at")
-    hits = hits.withColumn("twin", F.coalesce(F.lag("at").over(w) == F.col("at"), F.lit(False)))  # a repeated row's match
-    one = hits.withColumn("end", F.sum(F.when(F.col("twin"), 0).otherwise(F.col("gap") + F.col("size"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     least = F.element_at(F.array(*(F.lit(k.least) for k in KINDS)), F.col("kind") + 1)
-    return one.where(~F.col("twin") & (F.length("value") >= least)).select("doc_id", "h", "owner", "repository", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
+    counts = (F.length("value") >= least) & ((F.col("kind") < len(BASE)) | live_looking(F.col("value")))
+    return hits.withColumn("counts", counts).withColumn("key", F.when(counts, F.sha2("value", 256)))
+
+
+def placed(hits: DataFrame) -> DataFrame:
+    """doc_id, h, kind, start, end, value, key of the matches that count; those of repeated rows once.
+
+    Rows that agree in doc_id and text have the same matches whoever owns
+    them, so their owners play no part here.
+    """
+    once = hits.select("doc_id", "h", "kind", "at", "gap", "size", "value", "counts", "key").distinct()
+    w = Window.partitionBy("doc_id", "h", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ended = once.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(w))
+    return ended.where("counts").select("doc_id", "h", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value", "key")
 
 
 def live_looking(value: Column) -> Column:
@@ -73,25 +87,22 @@ def live_looking(value: Column) -> Column:
 
 
 def ownership(hits: DataFrame) -> DataFrame:
-    """key (hash of a value), n_owners, n_repositories and standing of every candidate value.
+    """key (hash of a value), n, n_owners, n_repositories and standing of every candidate value.
 
-    Values are hashed before they move.  Counts are of distinct pairs first,
-    so a value in a third of all documents reaches its task as one row per
-    owner and repository of each map task.
+    Values are hashed before they move.  Owners and repositories are counted
+    distinct over all rows; nulls count as none.  Distinct pairs of a value
+    and an owner or repository are found first, dealt by both, so a value in
+    a third of all documents reaches its task as partial counts.
     """
-    pairs = hits.select("key", "owner", "repository").groupBy("key", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = pairs.groupBy("key", "owner").agg(F.count("*").alias("n"))
-    known = F.col("owner").isNotNull().cast("int")
-    n = by_owner.groupBy("key").agg(F.sum(known).alias("n_owners"), F.sum("n").alias("n_repositories"))
+    n = hits.where("counts").groupBy("key").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories"), F.count("*").alias("n"))
     standing = F.when(F.col("n_owners") >= WIDE_OWNERS, "copied").when((F.col("n_owners") <= 1) & (F.col("n_repositories") <= OWN_REPOSITORIES), "own").otherwise("shared")
     return n.withColumn("standing", standing)
 
 
 def judged(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """All spans with their value's ownership: base spans, and bare tokens that look live, are one owner's own and overlap no base span."""
-    hits = candidates(docs, owner, repository)
-    hits = written(hits.where((F.col("kind") < len(BASE)) | live_looking(F.col("value"))).withColumn("key", F.sha2("value", 256)))
-    joined = hits.join(ownership(hits), "key")
+    hits = written(candidates(docs, owner, repository))
+    joined = join_spread(written(placed(hits)), written(ownership(hits)), ["key"])
     joined = joined.withColumn("live", live_looking(F.col("value")))
     w = Window.partitionBy("doc_id", "h").orderBy("start", "kind")
     base = F.col("kind") < len(BASE)
@@ -109,9 +120,10 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     n_bare, n_copied, n_shared, n_own, n_live (own ones that look live).
     ``owner`` and ``repository`` name the columns that say whose a document
     is; documents has no repository, so each document counts as one.
-    Null and empty texts have no spans.  Null owners count as none.  A null
-    doc_id is returned as null; rows equal in doc_id and text each get the
-    same result.
+    Null and empty texts have no spans.  Null owners and repositories count
+    as none.  A null doc_id is returned as null; rows equal in doc_id and
+    text each get the same result, and each of their owners counts.  Of
+    spans that start alike the kind listed first comes first.
     """
     spans = judged(docs, owner, repository)
     name = F.element_at(F.array(*(F.lit(k.name) for k in KINDS)), F.col("kind") + 1)

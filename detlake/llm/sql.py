@@ -1,32 +1,29 @@
 """DuckDB SQL that gives the same rows as operators 1, 2, 7 and 9."""
 
-from detlake.llm.secrets import BARE, BASE, KINDS, OWN_REPOSITORIES, PLACEHOLDER, WIDE_OWNERS
-
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
+# The patterns are spelled out here once more, so that a wrong one in the operator shows.
+_ASSIGN = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _FOUND = " UNION ALL ".join(
-    f"SELECT rk, {i} AS kind, unnest(generate_series(1, len(m))) AS pos, unnest(p[:len(m)]) AS gap, unnest(m) AS hit, unnest(v) AS value FROM (SELECT rk, string_split_regex(t, {_quoted(k.pattern)}) AS p, regexp_extract_all(t, {_quoted(k.pattern)}, 0) AS m, regexp_extract_all(t, {_quoted(k.pattern)}, {k.group}) AS v FROM d)"
-    for i, k in enumerate(KINDS)
+    f"SELECT rk, {kind} AS kind, unnest(generate_series(1, len(m))) AS pos, unnest(p[:len(m)]) AS gap, unnest(m) AS hit, unnest(v) AS value FROM (SELECT rk, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v FROM d)"
+    for kind, pattern, group in ((0, _ASSIGN, 2), (1, "AKIA[A-Z0-9]+", 0), (2, "[0-9a-f]+", 0), (3, "[A-Za-z0-9+/_-]{20,}", 0))
 )
-_LIVE = f"(regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 9 AND NOT regexp_matches(lower(value), '{PLACEHOLDER}'))"
+_LIVE = "(regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 9 AND NOT regexp_matches(lower(value), 'example|sample|changeme|placeholder|dummy|test|xxxx|0000|1234'))"
+_NAME = """(['assign', 'access', 'hex', 'bare'][kind + 1] || ':' || start || ':' || "end")"""
 OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS rk, doc_id, source, coalesce(text, '') AS t FROM documents),
 f AS ({_FOUND}),
 s AS (SELECT rk, kind, value, sum(length(gap) + length(hit)) OVER (PARTITION BY rk, kind ORDER BY pos) AS "end", length(hit) AS size FROM f),
 c AS (SELECT s.rk, doc_id, source, kind, value, ("end" - size)::BIGINT AS start, "end"::BIGINT AS "end", {_LIVE} AS live FROM s JOIN d USING (rk)
-      WHERE length(value) >= [{', '.join(str(k.least) for k in KINDS)}][kind + 1] AND (kind < {len(BASE)} OR {_LIVE})),
-o AS (SELECT value, CASE WHEN count(DISTINCT source) >= {WIDE_OWNERS} THEN 'copied' WHEN count(DISTINCT source) <= 1 AND count(DISTINCT doc_id) <= {OWN_REPOSITORIES} THEN 'own' ELSE 'shared' END AS standing FROM c GROUP BY value),
+      WHERE length(value) >= [12, 18, 16, 20][kind + 1] AND (kind < 3 OR {_LIVE})),
+o AS (SELECT value, CASE WHEN count(DISTINCT source) >= 3 THEN 'copied' WHEN count(DISTINCT source) <= 1 AND count(DISTINCT doc_id) <= 20 THEN 'own' ELSE 'shared' END AS standing FROM c GROUP BY value),
 j AS (SELECT c.*, standing FROM c JOIN o USING (value)),
-u AS (SELECT * FROM j WHERE kind < {len(BASE)} OR (standing = 'own' AND NOT EXISTS (SELECT 1 FROM j b WHERE b.rk = j.rk AND b.kind < {len(BASE)} AND b.start < j."end" AND b."end" > j.start)))
+u AS (SELECT * FROM j WHERE kind < 3 OR (standing = 'own' AND NOT EXISTS (SELECT 1 FROM j b WHERE b.rk = j.rk AND b.kind < 3 AND b.start < j."end" AND b."end" > j.start)))
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-  sha256(coalesce(string_agg({(name := "(['" + "', '".join(k.name for k in KINDS) + "'][kind + 1] || ':' || start || ':' || " + '"end")')}, ',' ORDER BY start, kind) FILTER (kind < {len(BASE)}), '')) AS base_sha256,
-  coalesce(string_agg({name}, ',' ORDER BY start, kind), '') AS spans,
-  count(*) FILTER (kind = {KINDS.index(BARE)}) AS n_bare, count(*) FILTER (standing = 'copied') AS n_copied, count(*) FILTER (standing = 'shared') AS n_shared, count(*) FILTER (standing = 'own') AS n_own, count(*) FILTER (standing = 'own' AND live) AS n_live
+  sha256(coalesce(string_agg({_NAME}, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+  coalesce(string_agg({_NAME}, ',' ORDER BY start, kind), '') AS spans,
+  count(*) FILTER (kind = 3) AS n_bare, count(*) FILTER (standing = 'copied') AS n_copied, count(*) FILTER (standing = 'shared') AS n_shared, count(*) FILTER (standing = 'own') AS n_own, count(*) FILTER (standing = 'own' AND live) AS n_live
 FROM d LEFT JOIN u USING (rk) GROUP BY d.rk, d.doc_id
 """
 

@@ -127,7 +127,7 @@ def test_links_that_no_lead_shows_are_found(spark):
     assert {r["component_id"] for r in got} == {961}
 
 
-def test_repeated_windows_are_those_of_brute_force(docs, nothing):
+def test_repeated_windows_are_those_of_brute_force(docs, nothing, monkeypatch):
     lists = {i: word_list(t) for i, t in TEXTS.items()} | {1 << 60: word_list("no id " + SHARED)}
     for width, name in ((13, "windows"), (50, "passages")):
         first, several = {}, {}
@@ -150,6 +150,37 @@ def test_repeated_windows_are_those_of_brute_force(docs, nothing):
             assert set(got) == {i for i in lists if again[i]} and suffixes.repeated_passages(nothing).count() == 0
             for i, r in got.items():
                 assert (r["n_repeated"], r["n_removable"]) == (len(again[i]), len(gone[i])), i
+            for crowd in (1, 3):  # heads of more suffixes go by the windows' digests
+                monkeypatch.setattr(suffixes, "COMPARED", crowd)
+                assert {(1 << 60) if r["doc_id"] is None else r["doc_id"]: r for r in rows_of(suffixes.repeated_passages(docs))} == got
+
+
+def test_repeated_passages_of_random_texts_are_those_of_brute_force(spark):
+    # Few words, so that passages overlap, repeat within a text and differ in a single word.
+    rnd = random.Random(9)
+    pool = [" ".join(rnd.choice("ab\x01c") for _ in range(70)) for _ in range(4)]
+    texts = []
+    for i in range(60):
+        words = []
+        while len(words) < rnd.randrange(0, 400):
+            some = rnd.choice(pool).split(" ")
+            a = rnd.randrange(0, 40)
+            some = some[a : a + rnd.randrange(1, 70)]
+            if rnd.random() < 0.5:
+                some[rnd.randrange(len(some))] = rnd.choice("ab")
+            words += some
+        texts.append(words)
+    have = {}
+    for i, w in enumerate(texts):
+        for a in range(len(w) - 49):
+            have.setdefault(tuple(w[a : a + 50]), set()).add(i)
+    got = {r["doc_id"]: r for r in rows_of(suffixes.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")))}
+    for i, w in enumerate(texts):
+        both = [{j for a in range(len(w) - 49) if test(have[tuple(w[a : a + 50])]) for j in range(a, a + 50)} for test in (lambda s: len(s) > 1, lambda s: min(s) < i)]
+        assert both[0] or i not in got
+        if both[0]:
+            spans = [{j for x in got[i][c].split(",") if x for j in range(*map(int, x.split(":")))} for c in ("passages", "removable")]
+            assert spans == both and (got[i]["n_repeated"], got[i]["n_removable"]) == (len(both[0]), len(both[1]))
 
 
 def test_spans_of_secrets(docs, nothing):
@@ -169,6 +200,43 @@ def test_ownership_separates_examples_from_own_values(spark):
     assert got[0]["spans"] == "" and got[9]["spans"] == "bare:4:24,bare:27:47" and got[9]["n_live"] == 2
 
 
+BASE_PATTERNS = {
+    "assign": (r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 1, 12),
+    "access": ("AKIA[A-Z0-9]+", 0, 0, 18),
+    "hex": ("[0-9a-f]+", 0, 0, 16),
+}
+
+
+def base_spans(text):
+    """(start, kind, end) of the base spans, by Python's own engine."""
+    out = []
+    for k, (pattern, flags, group, least) in enumerate(BASE_PATTERNS.values()):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text, flags) if len(m[group]) >= least]
+    names = list(BASE_PATTERNS)
+    return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_spans_are_those_of_brute_force(spark):
+    rnd = random.Random(8)
+    parts = ["password", "Passwd ", "SECRET", "token", "api_key", "ApiKey", "=", ": ", "'", '"', " ", "\n", "AKIA", "AKIAAB12" * 3, "deadbeef", "0123456789abcdef0", "ñ", "😀", "x_y.z-", "Zz9+/=", "abcABC123456", "12"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 80))) for _ in range(300)]
+    got = {r["doc_id"]: r for r in rows_of(secrets.scan(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")))}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        assert ",".join(x for x in got[i]["spans"].split(",") if x and not x.startswith("bare")) == want, t
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_every_owner_of_a_repeated_row_counts(spark):
+    token, other = "qW9zX8cV7bN6mK5jH4gF", "Zz1yY2xX3wW4vV5uU6tT"
+    rows = [(1, f"see {token}", s) for s in ("a", "b", "c")] + [(None, f"see {other}", None), (None, f"see {other}", "a")]
+    got = rows_of(secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")))
+    assert [(r["n_bare"], r["n_copied"], r["n_own"]) for r in got if r["doc_id"] == 1] == [(0, 0, 0)] * 3
+    assert [(r["n_bare"], r["n_own"]) for r in got if r["doc_id"] is None] == [(1, 1)] * 2
+    based = [(i, f'token = "{token}"', s) for i, s in ((1, "a"), (1, "b"), (1, "c"), (2, "a"))]
+    assert all(r["n_copied"] == 1 for r in rows_of(secrets.scan(spark.createDataFrame(based, "doc_id bigint, text string, source string"))))
+
+
 def test_redaction_keeps_rows_and_columns(docs, nothing):
     got = secrets.redact(docs)
     assert got.columns == docs.columns and got.count() == docs.count() and secrets.redact(nothing).count() == 0
