@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
+from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -13,16 +14,15 @@ from pyspark.sql import DataFrame
 from detlake.llm.frames import by_batch, documents
 from detlake.llm.tokens import SPLIT, Memory
 
-#: Slots for remembered token pairs, as a power of two.
-PAIR_BITS = 20
+#: Token pairs whose verdict a worker remembers, and the longest piece whose entries are found on demand.
+PAIRS, SHORT = 300_000, 64
 
 
 class Vocabulary:
     """A rank file, and which tokens may stand next to each other.
 
-    ``halves`` gives the two tokens whose merge makes a token.  Tokens are
-    what byte-pair merging yields exactly if each merges to itself and each
-    adjacent pair is ``compatible``: merging the bytes of both leaves the
+    Tokens are what byte-pair merging yields exactly if each merges to itself
+    and each adjacent pair is ``compatible``: merging the bytes of both leaves the
     boundary between them in place.
     """
 
@@ -32,17 +32,17 @@ class Vocabulary:
         self.bytes = {i: b for b, i in self.rank.items()}
         self.longest = max(map(len, self.rank))
         self.split = regex.compile(SPLIT)
-        self._halves: dict[int, tuple[int, int] | None | bool] = {}
-        self._pairs = array("q", [-1]) * (1 << PAIR_BITS)  # one remembered pair for each slot: ids and verdict in one number
+        self._halves = {token: self._last_merge(text, token) for token, text in self.bytes.items()}
+        self.ending = {text: token for text, token in self.rank.items() if self._halves[token] is not False}
+        self.ends = ahocorasick.Automaton()  # finds all tokens that end at each byte, bytes taken as Latin-1
+        for text, token in self.ending.items():
+            self.ends.add_word(text.decode("latin-1"), (token, len(text)))
+        self.ends.make_automaton()
+        self.pairs: dict[int, bool] = {}
         self.pieces = Memory(self._piece, 210_000)
 
-    def halves(self, token: int) -> tuple[int, int] | None | bool:
-        """The last merge of a token; None for a byte, False if merging its bytes never makes it."""
-        if token not in self._halves:
-            self._halves[token] = self._last_merge(self.bytes[token], token)
-        return self._halves[token]
-
     def _last_merge(self, text: bytes, own: int) -> tuple[int, int] | None | bool:
+        """The last merge of a token; None for a byte, False if merging its bytes never makes it."""
         parts = [text[i : i + 1] for i in range(len(text))]
         if len(parts) < 2:
             return None
@@ -56,33 +56,64 @@ class Vocabulary:
         return self.rank[parts[0]], self.rank[parts[1]]
 
     def compatible(self, a: int, b: int) -> bool:
-        key = a << 24 | b
-        slot = (a * 40503 ^ b * 30011) & (1 << PAIR_BITS) - 1
-        found = self._pairs[slot]
-        if found >> 1 != key:
-            found = self._pairs[slot] = key << 1 | self._compatible(a, b)
-        return found & 1
+        known = self.pairs.get(a << 24 | b)
+        if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[a << 24 | b] = self._compatible(a, b)
+        return known
 
     def _piece(self, piece: str) -> tuple[str, bytes]:
         """Ids of a piece in decimals, and the bytes that they decode to."""
         data = piece.encode("utf-8")
-        ids = [self.rank[data]] if data in self.rank else Prefixes(self, data).tokens()
+        if data in self.rank:
+            ids = [self.rank[data]]
+        elif len(data) > SHORT:
+            ids = Prefixes(self, data).tokens()
+        else:
+            ids, end, last = [], len(data), {}
+            while end:
+                ids.append(self.last_token(data, end, last))
+                end -= len(self.bytes[ids[-1]])
+            ids.reverse()
         return " ".join(map(str, ids)), self.decode(ids)
 
+    def last_token(self, data: bytes, end: int, last: dict[int, int]) -> int:
+        """The unique valid last token of a prefix; ``last`` keeps it and those of the shorter prefixes it asks for."""
+        known = last.get(end)
+        if known is not None:
+            return known
+        ending, pairs = self.ending.get, self.pairs.get
+        for start in range(max(0, end - self.longest), end):
+            token = ending(data[start:end])
+            if token is None:
+                continue
+            if start:
+                before = last.get(start)
+                if before is None:
+                    before = self.last_token(data, start, last)
+                fits = pairs(before << 24 | token)
+                if not (self.compatible(before, token) if fits is None else fits):
+                    continue
+            last[end] = token
+            return token
+        raise ValueError(f"no token for byte {data[end - 1]!r}")
+
     def _compatible(self, a: int, b: int) -> bool:
         """Undo the merges on both sides, the latest first, and look for one across the boundary that comes sooner."""
-        text, before = self.bytes, len(self.rank) + 1
+        text, rank, halves, before = self.bytes, self.rank.get, self._halves, len(self.rank) + 1
+        left, right, x, y = halves[a], halves[b], text[a], text[b]
         while True:
-            across = self.rank.get(text[a] + text[b])
-            if across is not None and across < before:
+            if rank(x + y, before) < before:
                 return False
-            left, right = self.halves(a), self.halves(b)
-            if not left and not right:
-                return True
             if left and (a > b or not right):
                 before, a = a, left[1]  # among equal ranks the leftmost pair merges first: a's own
-            else:
+                left, x = halves[a], text[a]
+            elif right:
                 before, b = b + 1, right[0]
+                right, y = halves[b], text[b]
+            else:
+                return True
 
     def encoded(self, text: str) -> list[tuple[str, bytes]]:
         """Each piece's ids in decimals and decoded bytes; repeated pieces are encoded once while remembered."""
@@ -113,34 +144,45 @@ class Prefixes:
     def append(self, data: bytes) -> Prefixes:
         at = len(self.data)
         self.data += data
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        for _ in self._entries(at):
+            pass
         return self
 
-    def _last(self, end: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        rank, halves = v.rank.get, v._halves
-        for start in range(max(0, end - v.longest), end):
-            token = rank(data[start:end])
-            if token is None:
+    def _entries(self, at: int) -> Iterator[int]:
+        """Adds the entries from prefix ``at + 1`` on one by one.
+
+        The automaton names the tokens that end at each byte; exactly one of
+        them is compatible with the last token of the prefix before it.
+        """
+        v, last = self.vocabulary, self.last
+        base = max(0, at + 1 - v.longest)  # no token that ends later starts before this byte
+        for end, (token, size) in v.ends.iter(self.data[base:].decode("latin-1")):
+            end += base
+            if end != at:
+                if end < at:
+                    continue  # found already
+                break
+            start = end + 1 - size
+            if start and not v.compatible(last[start - 1], token):
                 continue
-            if (halves[token] if token in halves else v.halves(token)) is not False and (not start or v.compatible(last[start - 1], token)):
-                return token
-        raise ValueError(f"no token for byte {data[end - 1]!r}")
+            last.append(token)
+            at += 1
+            yield token
+        if at < len(self.data):
+            raise ValueError(f"no token for byte {self.data[at]!r}")
 
     def replace(self, start: int, end: int, data: bytes) -> Prefixes:
         """Replace bytes start..end.  Entries after the edit are kept once as many as the longest token agree again."""
-        old, rest, shift = self.last, self.data[end:], start + len(data) - end
-        self.data, self.last = self.data[:start], old[:start]
-        self.append(data)
-        whole, agree = self.data + rest, 0
-        self.data = whole
-        for at in range(len(self.last) + 1, len(whole) + 1):
-            if agree >= self.vocabulary.longest:
-                self.last += old[at - 1 - shift :]
-                break
-            self.last.append(self._last(at))
-            agree = agree + 1 if self.last[-1] == old[at - 1 - shift] else 0
+        old, shift, fresh = self.last, len(data) - (end - start), start + len(data)
+        self.data, self.last = self.data[:start] + data + self.data[end:], self.last[:start]
+        agree = 0
+        for token in self._entries(start):
+            at = len(self.last)
+            if at > fresh:
+                agree = agree + 1 if token == old[at - 1 - shift] else 0
+                if agree >= self.vocabulary.longest:
+                    self.last += old[at - shift :]
+                    break
         return self
 
     def tokens(self) -> list[int]:

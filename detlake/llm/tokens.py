@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 from heapq import heapify, heappop, heappush
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from detlake.llm.frames import by_batch, documents
 
-#: How byte-level vocabularies split a text before merging. \s is spelled out: Unicode white space.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: How byte-level vocabularies split a text before merging: the published pattern, with \s as Unicode white space,
+#: which is what it stands for in the libraries' own engines.
+SPLIT = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 #: Pieces whose result a worker remembers, in each of two generations.
 REMEMBERED = 200_000
 
