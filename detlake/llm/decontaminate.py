@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from detlake.llm.flat import Words, mix, rolling, words_of
 from detlake.llm.frames import documents, sized, texts
 
-#: Edits in words that still make a window a copy of an item, as a share of the item's words; shorter items are no passages.
+#: Edits in words that still make a window a copy of an item, as a share of the item's words; shorter items are found verbatim.
 MOST_EDITS, LEAST_WORDS = 0.2, 8
-#: Repetitions of the random walk, and embedded symbols sampled in each.
-WALKS, SAMPLES = 24, 3
+#: Share of copies with as many edits that are to be found, and embedded symbols sampled in each random walk.
+RECALL, SAMPLES = 0.99, 3
+#: Simulated copies behind the number of walks.
+TRIALS = 400
 #: Words of items looked for at once; more items are done in several blocks.
 BLOCK_WORDS = 2_000_000
+#: Text looked at at once.
+CUT_BYTES = 1 << 20
 _END = np.uint64(0x1234567)
 
 
@@ -28,17 +35,24 @@ class Items:
 
     ids: list[int]
     words: list[np.ndarray]
+    repeats: int | None = None  # random walks; None: as many as RECALL takes
     edits: list[int] = field(init=False)
     grams: dict[int, np.ndarray] = field(init=False)  # sorted run hashes, by run length
     walks: list[Walk] = field(init=False)
 
     def __post_init__(self):
-        self.edits = [int(MOST_EDITS * len(w)) for w in self.words]
+        self.edits = [int(MOST_EDITS * len(w)) if len(w) >= LEAST_WORDS else 0 for w in self.words]
         runs: dict[int, list[np.ndarray]] = {}
         for w, e in zip(self.words, self.edits):
             runs.setdefault(len(w) // (e + 1), []).append(rolling(w, len(w) // (e + 1)))
         self.grams = {q: np.unique(np.concatenate(r)) for q, r in runs.items()}
-        self.walks = [Walk(i, self.words) for i in range(WALKS)]
+        if self.repeats is None:
+            worst: dict[int, tuple[float, int]] = {}  # of each size class the length with the largest share of edits
+            for w, e in zip(self.words, self.edits):
+                size = len(w).bit_length()
+                worst[size] = max(worst.get(size, (0.0, 0)), (e / len(w), -len(w)))
+            self.repeats = max((walks_needed(-n) for share, n in worst.values() if share), default=1)
+        self.walks = [Walk(i, self.words) for i in range(self.repeats)]
 
     @property
     def longest(self) -> int:
@@ -101,6 +115,32 @@ class Walk:
         return np.concatenate(window), np.concatenate(item)
 
 
+@cache
+def walks_needed(size: int) -> int:
+    """Repetitions after which RECALL of the copies with MOST_EDITS of their words edited have met their item in a bucket.
+
+    Taken from TRIALS random items of ``size`` words, each with one copy with
+    random inserted, deleted and replaced words.  Some copies are harder than
+    others, so walks are added until enough copies are found.
+    """
+    rng = np.random.default_rng(size)
+    edits, steps = max(1, int(MOST_EDITS * size)), 1 << (size.bit_length() - 1)
+    items = rng.integers(0, 2**64, (TRIALS, size), dtype=np.uint64)
+    copies = [x.tolist() for x in items]
+    for copy in copies:
+        for j, kind in zip(rng.integers(0, size, edits).tolist(), rng.integers(0, 3, edits).tolist()):
+            j, new = j % len(copy), int(rng.integers(0, 2**64, dtype=np.uint64))
+            copy[j : j + 1] = ([], [new], [copy[j], new])[kind]
+    both = [*items, *(np.array(x, np.uint64) for x in copies)]
+    flat, stop, found = np.concatenate(both), np.cumsum([len(x) for x in both]), np.zeros(TRIALS, bool)
+    for number in count():
+        walk = Walk(number, [items[0]])
+        key = walk.key(walk.embed(flat, np.append(0, stop[:-1]), stop, steps), walk.classes[steps][0])
+        found |= key[:TRIALS] == key[TRIALS:]
+        if found.mean() >= RECALL:
+            return number + 1
+
+
 def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least word edits between the item and any part of the text, and that part's start and end."""
     column = np.arange(len(text) + 1)
@@ -171,7 +211,7 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[Items]:
     source = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").orderBy("item_id", "text")
     for row in source.toLocalIterator():
         words = words_of([row["text"].encode()]).hash
-        if len(words) < LEAST_WORDS:
+        if not len(words):
             continue
         if rows and n + len(words) > BLOCK_WORDS:
             yield Items([i for i, _ in rows], [w for _, w in rows])
@@ -186,31 +226,64 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold a benchmark item with at most 20 % of its words edited: a row for each such pair.
 
     Returns doc_id, item_id, n_edits and start, end (words of the whole text)
-    of the item's nearest part in the document.  Windows the size of an item
-    at every word go through WALKS repetitions of the embedding; what falls
-    in a bucket is verified by exact edit distance.  At 10 % edits a pair is
-    missed with a chance of about one in a thousand; exact copies never are.
-    Null and empty texts hold nothing; items of fewer than LEAST_WORDS words
-    are not passages; an empty benchmark gives no rows.  Repeated rows give
-    repeated results.
+    of the item's nearest part in the document; of equally near ones the
+    first.  Windows the size of an item at every word go through repetitions
+    of the embedding, as many as find RECALL of the copies with 20 % edits;
+    what falls in a bucket is verified by exact edit distance.  Exact copies
+    are never missed.  Items of fewer than LEAST_WORDS words are found
+    verbatim only, since a few shared words make no copy.  Null and empty
+    texts hold nothing; items without words, and null ones, are in nothing;
+    an empty benchmark gives no rows.  Repeated rows give repeated results,
+    null doc_ids null ones.
     """
     found = None
     for items in benchmark_blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast((items.ids, items.words))
+        shipped = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, items.repeats))
         part = _leaks(documents(docs), shipped)
         found = part if found is None else found.unionByName(part)
     schema = "doc_id bigint, item_id bigint, n_edits int, start int, end int"
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
-def _leaks(docs: DataFrame, shipped) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns; each row is judged by its own text."""
+    for items in benchmark_blocks(benchmark):
+        shipped = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, items.repeats))
+        docs = _clean(docs, shipped)
+    return docs
+
+
+def _looked_up(shipped) -> Callable[[], Items]:
     made: dict[str, Items] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def items() -> Items:
         if "items" not in made:
             made["items"] = Items(*shipped.value)
-        items = made["items"]
-        for batch in sized(batches, 4 << 20):
+        return made["items"]
+
+    return items
+
+
+def _clean(docs: DataFrame, shipped) -> DataFrame:
+    look_up = _looked_up(shipped)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, CUT_BYTES):
+            clean = np.ones(len(batch), bool)
+            clean[[t for t, *_ in near_items(words_of(texts(batch)), look_up())]] = False
+            yield pa.record_batch([batch.column("row").filter(pa.array(clean))], names=["row"])
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select("row.*")
+
+
+def _leaks(docs: DataFrame, shipped) -> DataFrame:
+    look_up = _looked_up(shipped)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, CUT_BYTES):
+            items = look_up()
             got = near_items(words_of(texts(batch)), items)
             t, i, d, a, b = zip(*got) if got else ((),) * 5
             yield pa.record_batch([batch.column("doc_id").take(pa.array(t, pa.int64())), pa.array([items.ids[x] for x in i], pa.int64()), pa.array(d, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "item_id", "n_edits", "start", "end"])

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from detlake.llm.frames import documents, held_out, sized
 
-#: Bounds of the training text: documents of a language, and characters of each and of all of them.
-TRAIN_DOCS, TRAIN_DOC_CHARS, TRAIN_CHARS = 64, 2_000, 24_000
-#: A text is parsed in blocks of this many symbols, many blocks in step; a phrase ends at a block's end.
-BLOCK = 1024
-_MASK, _ONE = (1 << 28) - 1, 1 << 28
+#: Bound of the labelled sample: documents of a language, and characters of one, which is taken whole or not at all.
+TRAIN_DOCS, TRAIN_DOC_CHARS = 24, 10_000
+#: Long texts are parsed from so many symbols on in step, and the parses joined afterwards.
+BLOCK = 512
+#: Entries of an automaton's transition table; with more (a large alphabet) only those that exist are kept.
+DENSE = 1 << 23
 
 
 def symbols(text: str) -> str:
@@ -71,71 +72,104 @@ class SuffixAutomaton:
         return n
 
 
-class CrossParser:
-    """Suffix automata of all languages as one table, stepped over many blocks at once.
+class Transitions:
+    """The transitions of an automaton as arrays: state and symbol number to the next state, or -1."""
+
+    def __init__(self, automaton: SuffixAutomaton, column: dict[str, int], width: int, dense: int = DENSE):
+        edges = sorted((state * width + column[c], to) for state, some in enumerate(automaton.next) for c, to in some.items())
+        key, to = (np.array(x, np.int64) for x in (zip(*edges) if edges else ((), ())))
+        self.width, self.table = width, None
+        if len(automaton.next) * width <= dense:
+            self.table = np.full(len(automaton.next) * width, -1, np.int32)
+            self.table[key] = to
+        else:
+            self.key, self.to = key, to
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        at = state * self.width + symbol
+        if self.table is not None:
+            return self.table[at].astype(np.int64)
+        spot = np.minimum(np.searchsorted(self.key, at), len(self.key) - 1)
+        return np.where(self.key[spot] == at, self.to[spot], -1)
+
+    def walk(self, codes: np.ndarray, at: np.ndarray, stop: np.ndarray, starts: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Parses from each position ``at`` to the first phrase that starts at ``stop`` or later, all in step.
+
+        Marks where phrases start; returns where each parse has ended.  With
+        ``known`` a parse also ends where a known phrase starts.  Symbol 0 is
+        unknown to every state, and one follows each text.
+        """
+        final, lane, at, state = at.copy(), np.arange(len(at)), at.copy(), np.zeros(len(at), np.int64)
+        while len(lane):
+            fresh = state == 0
+            done = fresh & (at >= stop)
+            if known is not None:
+                done |= fresh & known[at]
+            if done.any():
+                final[lane[done]] = at[done]
+                going = ~done
+                lane, at, state, stop, fresh = lane[going], at[going], state[going], stop[going], fresh[going]
+            starts[at[fresh]] = True
+            to = self.step(state, codes[at])
+            miss = to < 0
+            at = at + (~miss | fresh)  # a phrase ends before a symbol that doesn't go on, or is one unknown symbol
+            state = np.where(miss, 0, to)
+        return final
+
+    def phrase_starts(self, codes: np.ndarray, begin: np.ndarray, stop: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Where the phrases of whole texts start: blocks are parsed from their begin on, and again where a phrase enters them.
+
+        A block's first parse holds from where it meets the one that comes
+        from the block before (``follows``: there is one in the same text).
+        """
+        starts = np.zeros(len(codes) + 1, bool)
+        final, entry = self.walk(codes, begin, stop, starts), begin.copy()
+        while True:
+            wrong = np.flatnonzero(follows & (np.append(0, final[:-1]) != entry))
+            if not len(wrong):
+                return starts
+            old, fresh = entry[wrong], np.zeros(len(codes) + 1, bool)
+            entry[wrong] = final[wrong - 1]
+            met = self.walk(codes, entry[wrong], stop[wrong], fresh, starts)
+            inside = met < stop[wrong]
+            edge = np.zeros(len(codes) + 2, np.int64)
+            np.add.at(edge, begin[wrong], 1)
+            np.add.at(edge, np.where(inside, met, stop[wrong]), -1)
+            starts &= np.cumsum(edge[:-1]) == 0
+            starts |= fresh
+            final[wrong[~inside]] = met[~inside]
 
-    Entry [state, symbol] is the next state's row offset; its high bits count
-    the phrases that end there: no transition ends a phrase and starts the
-    next one from the root with the same symbol.
-    """
 
-    def __init__(self, training: dict[str, str]):
+class CrossParser:
+    """Suffix automata of all languages over one alphabet; number 0 stands for symbols of no language."""
+
+    def __init__(self, training: dict[str, str], dense: int = DENSE):
         self.langs = sorted(training)
         alphabet = sorted({c for x in training.values() for c in x})
-        self.width = len(alphabet) + 1  # column 0: symbols of no language
-        automata = [SuffixAutomaton(training[x]) for x in self.langs]
         column = {c: i + 1 for i, c in enumerate(alphabet)}
-        tables, self.root, at = [], [], 0
-        for a in automata:
-            root = at * self.width
-            table = np.full((len(a.next), self.width), -1, np.int64)
-            for state, edges in enumerate(a.next):
-                for c, to in edges.items():
-                    table[state, column[c]] = root + to * self.width
-            first = table[0].copy()
-            # From another state: the phrase ends, the symbol starts the next one; unknown, it is one itself.
-            restart = np.where(first >= 0, first + _ONE, root + 2 * _ONE)
-            table = np.where(table >= 0, table, restart[None, :])
-            table[0] = np.where(first >= 0, first, root + _ONE)
-            tables.append(table)
-            self.root.append(root)
-            at += len(a.next)
-        if at * self.width > _MASK:
-            raise ValueError("too many languages or too much training text for one table")
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
-        self.column = np.zeros(0x110000, np.uint8 if self.width < 256 else np.int32)
+        self.automata = [Transitions(SuffixAutomaton(training[x]), column, len(alphabet) + 1, dense) for x in self.langs]
+        self.column = np.zeros(0x110000, np.uint8 if len(alphabet) < 255 else np.int32)
         for c, i in column.items():
             self.column[ord(c)] = i
         self.log = np.array([math.log(max(2, len(training[x]))) for x in self.langs])
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text (of symbols only) under each language."""
-        blocks, owner = [], []
-        for i, x in enumerate(texts):
-            codes = self.column[np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)]
-            for at in range(0, len(codes), BLOCK):
-                blocks.append(codes[at : at + BLOCK])
-                owner.append(i)
         out = np.zeros((len(self.langs), len(texts)), np.int64)
-        if not blocks:
+        size = np.array([len(x) for x in texts], np.int64)
+        if not size.sum():
             return out
-        size = np.array([len(b) for b in blocks])
-        order = np.argsort(-size, kind="stable")
-        grid = np.zeros((int(size.max()), len(blocks)), np.int32)
-        for k, i in enumerate(order):
-            grid[: size[i], k] = blocks[i]
-        active = np.searchsorted(-size[order], -np.arange(len(grid)), "left")
-        root = np.array(self.root, np.int32)[:, None]
-        state = np.repeat(root, len(blocks), 1)
-        ended = np.zeros(state.shape, np.int32)
-        for step in range(len(grid)):
-            n = active[step]
-            found = self.table[state[:, :n] + grid[step, :n]]
-            ended[:, :n] += found >> 28
-            state[:, :n] = found & _MASK
-        ended += state != root
-        for k in range(len(self.langs)):
-            np.add.at(out[k], np.array(owner)[order], ended[k])
+        joined = "\0".join(texts) + "\0"  # never a symbol, so it is number 0
+        codes = self.column[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        first = np.append(0, np.cumsum(size + 1))
+        blocks = (size + BLOCK - 1) // BLOCK
+        text = np.repeat(np.arange(len(texts)), blocks)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = first[text] + number * BLOCK
+        stop = np.minimum(begin + BLOCK, first[text] + size[text])
+        for k, automaton in enumerate(self.automata):
+            total = np.append(0, np.cumsum(automaton.phrase_starts(codes, begin, stop, number > 0)))
+            out[k] = total[first[1:]] - total[first[:-1]]
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -157,21 +191,25 @@ class CrossParser:
 
 
 def training_text(docs: DataFrame) -> dict[str, str]:
-    """A bounded sample of labelled text for each language, from outside the held-out fold.
+    """A bounded sample of labelled documents of each language, from outside the held-out fold.
 
-    TRAIN_DOCS documents of each language with the smallest hashes of their
-    ids; only ids and languages are ranked, the texts are then joined to
-    those few ids.
+    Of the TRAIN_DOCS documents of a language with the smallest hashes of
+    their ids those of at most TRAIN_DOC_CHARS characters teach, whole; if
+    all are longer, the shortest does.  Only ids and languages are ranked,
+    the texts are then joined to those few ids.
     """
     labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     some = labelled.withColumn("_rank", rank).where(F.col("_rank") <= TRAIN_DOCS).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    texts = documents(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(some), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-    rows = texts.select("lang", F.xxhash64("doc_id").alias("_rank"), F.substring("text", 1, TRAIN_DOC_CHARS).alias("text")).where("text is not null").collect()
+    texts = documents(docs, F.col("lang").cast("string").alias("lang")).where("text is not null").join(some.distinct(), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    size = F.length("text")
+    least = F.min(F.struct(size.alias("n"), "doc_id", F.xxhash64("text").alias("h"))).over(Window.partitionBy("lang"))
+    taken = (size <= TRAIN_DOC_CHARS) | ((least["n"] > TRAIN_DOC_CHARS) & (least["doc_id"] == F.col("doc_id")) & (least["h"] == F.xxhash64("text")))
+    rows = texts.withColumn("_taken", taken).where("_taken").select("lang", F.xxhash64("doc_id").alias("_rank"), "text").distinct().collect()
     out: dict[str, str] = {}
     for row in sorted(rows):
         out[row["lang"]] = out.get(row["lang"], "") + symbols(row["text"]) + " "
-    return {k: v[:TRAIN_CHARS] for k, v in out.items()}
+    return out
 
 
 _parsers: dict[int, CrossParser] = {}
@@ -183,8 +221,8 @@ def identify(docs: DataFrame, training: dict[str, str] | None = None) -> DataFra
     Learns from ``training`` (text by language), or from a bounded sample of
     docs' own labelled rows outside the held-out fold.  Null texts and texts
     without a letter are ``und`` with score 0, as is everything if nothing
-    can be learned.  Of languages that need equally few phrases the first by
-    name wins.  A null doc_id is not held out.
+    can be learned.  Of languages that cost equally little the first by name
+    wins.  A null doc_id is not held out; repeated rows stay.
     """
     training = training_text(docs) if training is None else training
     key = hash(tuple(sorted(training.items())))
@@ -193,7 +231,7 @@ def identify(docs: DataFrame, training: dict[str, str] | None = None) -> DataFra
         if key not in _parsers:  # the text is small; each worker makes the table from it once
             _parsers.clear()
             _parsers[key] = CrossParser(training)
-        for batch in sized(batches, 4 << 20):
+        for batch in sized(batches, 1 << 20):
             found = _parsers[key].predict(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from detlake.llm.components import components
 from detlake.llm.flat import mix, rolling, words_of
-from detlake.llm.frames import NO_ID, documents, partitions, sized, texts, written
+from detlake.llm.frames import NO_ID, documents, join_spread, partitions, sized, texts, written
 
 #: Bands and hashes in each: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 #: Signature entries compared before the posterior is looked at again, and the chance of pruning a true pair each time.
 STEP, MISS = 16, 1e-7
-#: Members of a lead compared at once.
-GROUP = 1024
+#: Members of a lead compared at once, and text looked at at once.
+GROUP, CUT_BYTES = 1024, 1 << 20
 _RANDOM = np.random.default_rng(7)
 _XOR = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _TIMES = _RANDOM.integers(0, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,7 +74,7 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, text hash, size and 128-bit digest of the shingle set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, 4 << 20):
+        for batch in sized(batches, CUT_BYTES):
             values, offset = shingle_sets(texts(batch), shingle)
             full = np.flatnonzero(np.diff(offset))
             digests = []
@@ -98,7 +98,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, 4 << 20):
+        for batch in sized(batches, CUT_BYTES):
             values, offset = shingle_sets(texts(batch), shingle)
             sig = signatures(values, offset)
             items = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(values.view(np.int64)))
@@ -126,6 +126,15 @@ def least_matches(percent: int, miss: float = MISS) -> list[tuple[int, int]]:
     return out
 
 
+def unpruned(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Which rows of two arrays of signatures sequential comparison doesn't prune, as row numbers."""
+    alive, seen = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for n, least in steps:
+        seen[alive] += (a[alive, n - STEP : n] == b[alive, n - STEP : n]).sum(1)
+        alive = alive[seen[alive] >= least]
+    return alive
+
+
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sequential comparison of their signatures doesn't prune.
 
@@ -137,14 +146,10 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) for c in ("sig_a", "sig_b"))
-            alive, seen = np.arange(len(a)), np.zeros(len(a), np.int64)
-            for n, least in steps:
-                seen[alive] += (a[alive, n - STEP : n] == b[alive, n - STEP : n]).sum(1)
-                alive = alive[seen[alive] >= least]
-            kept = pa.array(alive)
+            kept = pa.array(unpruned(a, b, steps))
             yield pa.record_batch([batch.column("a").take(kept), batch.column("b").take(kept)], names=["a", "b"])
 
-    both = pairs.join(_side(sets, "a", "n", "sig"), "a").join(_side(sets, "b", "n", "sig"), "b")
+    both = _with_side(pairs, sets, "a", "b", "n", "sig").join(_side(sets, "b", "n", "sig"), "b")
     near_in_size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return both.where(near_in_size).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
@@ -153,24 +158,54 @@ def _side(sets: DataFrame, x: str, *columns: str) -> DataFrame:
     return sets.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
 
+def _with_side(pairs: DataFrame, sets: DataFrame, x: str, other: str, *columns: str) -> DataFrame:
+    """pairs with columns of x's set; a set that many pairs need is copied once for every GROUP of them, so none is a hot key."""
+    n = written(pairs.groupBy(x).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / GROUP).cast("int")))
+    dealt = join_spread(pairs, n, [x]).withColumn("part", F.pmod(F.xxhash64(other), F.col("blocks")).cast("int")).drop("blocks")
+    side = _side(sets, x, *columns).join(n.select(x, "blocks"), x)
+    copies = side.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return dealt.join(copies, [x, "part"]).drop("part")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
-    both = pairs.join(_side(sets, "a", "items"), "a").join(_side(sets, "b", "items"), "b")
+    both = _with_side(pairs, sets, "a", "b", "items").join(_side(sets, "b", "items"), "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return both.where(100 * shared >= percent * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
 
-def spanning(root: np.ndarray, n: np.ndarray, differences: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the components of one group's members as all pairs at the threshold would.
+def candidates(root: np.ndarray, n: np.ndarray, block: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (i < j) of members of several components that their sizes and the sequential comparison of signatures leave.
+
+    Where there are two blocks only pairs across them count.
+    """
+    steps, two = least_matches(percent), block.min() != block.max()
+    out = [np.zeros((0, 2), np.int64)]
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        open_ = (root[rest] != root[i]) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
+        if two:
+            open_ &= block[rest] != block[i]
+        j = np.flatnonzero(open_) + i + 1
+        if len(j):
+            left = j[unpruned(np.broadcast_to(sig[i], (len(j), PERMUTATIONS)), sig[j], steps)]
+            out.append(np.stack([np.full(len(left), i), left], 1))
+    return np.concatenate(out)
+
+
+def spanning(root: np.ndarray, n: np.ndarray, differences: list[np.ndarray], pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one group's members as all of its candidate pairs at the threshold would.
 
     ``differences`` has each member's symmetric difference with the group's
     lead.  That of two members is the symmetric difference of these, so what
     two have in common follows from the overlap of two short sets; overlaps
-    of all members are one matrix product, taken in slices of elements.
+    of members with candidates are one matrix product, in slices of elements.
     """
+    part, pairs = np.unique(pairs, return_inverse=True)
+    pairs, root, n, differences = pairs.reshape(-1, 2), root[part], n[part], [differences[i] for i in part]
     d = np.array([len(x) for x in differences])
     owner = np.repeat(np.arange(len(d)), d)
-    element, code, count = np.unique(np.concatenate([np.zeros(0, np.int64), *differences]), return_inverse=True, return_counts=True)
+    _, code, count = np.unique(np.concatenate([np.zeros(0, np.int64), *differences]), return_inverse=True, return_counts=True)
     place = np.cumsum(count > 1) - 1
     keep = count[code] > 1
     owner, code = owner[keep], place[code[keep]]
@@ -182,7 +217,9 @@ def spanning(root: np.ndarray, n: np.ndarray, differences: list[np.ndarray], per
         overlap += m @ m.T
     total = n[:, None] + n[None, :]
     apart = d[:, None] + d[None, :] - 2 * overlap.astype(np.int64)
-    linked = 100 * (total - apart) >= percent * (total + apart)
+    linked = np.zeros(overlap.shape, bool)
+    linked[pairs[:, 0], pairs[:, 1]] = linked[pairs[:, 1], pairs[:, 0]] = True
+    linked &= 100 * (total - apart) >= percent * (total + apart)
     same = root[:, None] == root[None, :]
     out, waiting = [], np.ones(len(d), bool)
     for seed in range(len(d)):
@@ -194,7 +231,7 @@ def spanning(root: np.ndarray, n: np.ndarray, differences: list[np.ndarray], per
                 waiting[j] = False
                 reached.append(j)
                 if not same[i, j]:
-                    out.append((i, j))
+                    out.append((int(part[i]), int(part[j])))
     return out
 
 
@@ -202,24 +239,30 @@ def remaining_links(members: DataFrame, roots: DataFrame, sets: DataFrame, perce
     """Links (a, b) between components that share buckets under one lead.
 
     Only leads whose members aren't in one component take part.  A member
-    travels as its difference from the lead.  Groups of more than GROUP
-    members are cut into blocks, and every pair of blocks is a group of its
-    own, so no task holds more than two blocks; of all links only those that
-    join components leave it.
+    travels as its signature and its difference from the lead.  Groups of
+    more than GROUP members are cut into blocks, and every pair of blocks is
+    a group of its own, so no task holds more than two blocks.  Pairs of
+    different components go through the sequential comparison; what it leaves
+    is confirmed on the sets.
     """
     placed = members.select("lead", "rep").distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("lead", "rep", F.coalesce("root", "rep").alias("root"))
     placed = written(placed)
-    is_open = placed.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("lo < hi").select("lead", "blocks")
-    rest = placed.join(is_open, "lead").withColumnRenamed("rep", "x").join(_side(sets, "x", "n", "items"), "x").join(_side(sets, "lead", "items"), "lead")
-    difference = F.concat(F.array_except("items_x", "items_lead"), F.array_except("items_lead", "items_x"))
+    n = F.count("*").alias("n")
+    is_open = written(placed.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), n).where("lo < hi").select("lead", "n", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")))
-    rows = rest.select("lead", "x", "root", F.col("n_x").alias("n"), difference.alias("difference"), F.explode(groups).alias("g")).select("lead", "g.*", "x", "root", "n", "difference")
+    rest = join_spread(placed, is_open, ["lead"]).withColumnRenamed("rep", "x").withColumn("own", own)
+    leads = _side(sets, "lead", "items").join(is_open.select("lead", "blocks"), "lead").select("lead", "items_lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    both = rest.join(_side(sets, "x", "n", "items", "sig"), "x").join(leads, ["lead", "own"])
+    difference = F.concat(F.array_except("items_x", "items_lead"), F.array_except("items_lead", "items_x"))
+    groups = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("low"), F.greatest("own", other).alias("high")))
+    rows = both.select("lead", "x", "root", F.col("n_x").alias("n"), "own", F.col("sig_x").alias("sig"), difference.alias("difference"), F.explode(groups).alias("g")).select("lead", "g.*", "x", "root", "n", "own", "sig", "difference")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(group: list[tuple]) -> pa.RecordBatch:
-            x, root, n, difference = (list(c) for c in zip(*(r[3:] for r in group)))
-            got = spanning(np.array(root), np.array(n), [np.array(v, np.int64) for v in difference], percent)
+            x, root, n, block, sig, difference = (list(c) for c in zip(*(r[3:] for r in group)))
+            root, n = np.array(root), np.array(n)
+            pairs = candidates(root, n, np.array(block), np.frombuffer(b"".join(sig), np.uint32).reshape(-1, PERMUTATIONS), percent)
+            got = spanning(root, n, [np.array(v, np.int64) for v in difference], pairs, percent) if len(pairs) else []
             return pa.record_batch([pa.array([x[i] for i, _ in got], pa.int64()), pa.array([x[j] for _, j in got], pa.int64())], names=["a", "b"])
 
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
@@ -250,9 +293,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
        deduplicated over bands, pruned by sequential Bayesian comparison of
        signatures and confirmed on the full sets.
     3. Leads whose members aren't in one component by then may hide links
-       between members.  There, and only there, all members of a lead are
-       compared exactly, in blocks, and links that join components kept
-       (``remaining_links``).  So no candidate link is lost.
+       between members.  There, and only there, members of a lead are
+       compared among themselves, in blocks, by the same sequential test and
+       on their sets (``remaining_links``).  So all candidate pairs that could
+       join components are tested.
 
     Null and empty texts have n_shingles 0 and are alone.  A null doc_id
     sorts after all others and is returned as null.  Of several texts under
@@ -269,7 +313,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     members = written(buckets.join(shared, "band").select("lead", "rep").distinct())
     sets = written(full_sets(texts_of, members.select("rep").distinct(), shingle))
     star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    roots = components(confirmed(likely(star, sets, percent), sets, percent))
+    roots = components(confirmed(written(likely(star, sets, percent)), sets, percent))
     found = remaining_links(members, roots, sets, percent)
     roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
     classes = reps.select("d1", "d2", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("root"))
