@@ -11,38 +11,41 @@ from detlake.llm.frames import written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the toxicity classifier doesn't reject; all rows of a rejected doc_id go."""
+    """Keeps the documents that the toxicity classifier doesn't reject.
+
+    Each row is judged by its own text, whatever its doc_id (null and
+    repeated ones alike); null and empty texts stay unless most labels are
+    toxic.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.score_documents(docs, model).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return _without(docs, bad)
+    return toxicity.without_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """Keeps the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    All rows of a dropped doc_id go; rows with a null doc_id stay, since no
+    id tells them apart.  Null and empty texts are nobody's duplicates.
+    """
     bad = minhash.near_duplicates(docs, percent=80, shingle=5).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return _without(docs, bad)
+    return docs.join(bad, docs["doc_id"] == bad["_id"], "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents without a benchmark item in them."""
-    bad = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct()
-    return _without(docs, bad)
+    """Keeps the documents without a benchmark item in them; each row is judged by its own text, null and empty ones stay."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents, with the secrets in their texts replaced."""
+    """Keeps all documents, with the secrets in their texts replaced; null texts stay null, repeated rows stay."""
     return secrets.redact(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with counts and hashes."""
+    """Token ids of every text, with counts and hashes; none for null and empty texts."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=True)
 
 
-def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    return docs.join(bad, docs["doc_id"] == bad["_id"], "left_anti")
-
-
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("secrets", redacted), ("encoding", encoded)]
 
 #: No SQL: the classifier, the edit-distance search and the encoder are beyond it.
