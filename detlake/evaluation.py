@@ -100,7 +100,7 @@ class Evaluation:
 
     @cached_property
     def points(self) -> DataFrame:
-        return curve.curve(self.matches, self.npig, self.params)
+        return curve.curve(self.matches, self.npig, self.params, bounds=curve.score_bounds(self.matches))
 
     @cached_property
     def cells(self) -> DataFrame:

@@ -1,12 +1,19 @@
-"""Precision and recall from matched detections: one window pass over narrow rows."""
+"""Precision and recall from matched detections: sums within ranges of scores, put together afterwards."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from detlake.operators.params import Params
 
+#: Ranges of scores that a category is cut into.
+RANGES = 16
+
 
 def reached(recall: Column, n: int = 101) -> Column:
     """How many of the recall thresholds i / (n - 1) are at most ``recall``, compared as doubles."""
@@ -17,32 +24,137 @@ def reached(recall: Column, n: int = 101) -> Column:
     return F.least(F.lit(n), f + 1 + up.cast("int") - down.cast("int")).cast("int")
 
 
-def curve(dt_eval: DataFrame, npig: DataFrame, params: Params, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, k, a, m, t, recall, precision (envelope), score, low, high of every detection that raises recall.
+def score_bounds(rows: DataFrame, ranges: int = RANGES) -> list[float]:
+    """Bounds that cut the scores of rows into ranges of about equal size; worth a pass where rows are kept."""
+    return sorted(set(rows.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+
+
+def _array(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy() if not pa.types.is_string(column.type) else np.array(column.to_pylist(), object)
+
+
+def _new(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether each row differs from the one before it in any of the columns."""
+    out = np.ones(len(table), bool)
+    out[1:] = False
+    for c in columns:
+        x = _array(table.column(c))
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
 
-    Detections rank by score, then image and rank in it.  Thresholds numbered
-    low (inclusive) to high (exclusive) are first reached at this row, so the
-    as-of lookup of each threshold is this interval and no join.
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int = 1 << 17) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows that agree in the columns, of about as many rows or one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            table = pa.Table.from_batches(held)
+            cut = int(np.flatnonzero(_new(table, columns))[-1])
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).combine_chunks().to_batches()
+    if held and sum(map(len, held)):
+        yield pa.Table.from_batches(held)
+
+
+def hits(dt_eval: DataFrame, params: Params, keys: tuple[str, ...] = (), bounds: list[float] | None = None) -> DataFrame:
+    """keys, category_id, a, range, m, t, n_fp, and of each true positive the false ones before it (fp) and its score.
+
+    Detections rank by score, then image and rank in it.  Scores are cut into
+    ranges (the highest first), so that a category is dealt over many tasks;
+    sums run within a range.
     """
-    n_t, ms = len(params.iou_thrs), list(params.max_dets)
-    caps = F.filter(F.array(*(F.struct(F.lit(i).alias("m"), F.lit(x).alias("cap")) for i, x in enumerate(ms))), lambda x: F.col("rank") <= x["cap"])
-    part = [*keys, "category_id", "a", "m"]
-    counted = dt_eval.where(F.exists("ignored", lambda x: ~x))  # what is ignored at every threshold changes no sum
-    rows = counted.select(*keys, "category_id", "a", F.explode(F.transform(caps, lambda x: x["m"])).alias("m"), "score", "image_id", "rank", *(c for t in range(n_t) for c in ((F.col("matched")[t] & ~F.col("ignored")[t]).cast("long").alias(f"tp{t}"), (~F.col("matched")[t] & ~F.col("ignored")[t]).cast("long").alias(f"fp{t}"))))
-    w = Window.partitionBy(*part).orderBy(F.col("score").desc(), "image_id", "rank")
-    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.select(*part, "score", "image_id", "rank", *(F.sum(f"{c}{t}").over(up).alias(f"{c}{t}") for t in range(n_t) for c in ("tp", "fp")), *(F.col(f"tp{t}").alias(f"is{t}") for t in range(n_t)))
-    precision = [F.when(F.col(f"tp{t}") + F.col(f"fp{t}") == 0, 0.0).otherwise(F.col(f"tp{t}") / (F.col(f"tp{t}") + F.col(f"fp{t}"))) for t in range(n_t)]
-    # The suffix maximum as a running maximum in reverse order: a frame to the partition's end is computed anew for each row.
-    down = Window.partitionBy(*part).orderBy(F.col("score").asc(), F.col("image_id").desc(), F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    envelope = sums.select("*", *(F.max(p).over(down).alias(f"p{t}") for t, p in enumerate(precision)))
-    each = F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"tp{t}").alias("tp"), F.col(f"is{t}").alias("is_tp"), F.col(f"p{t}").alias("precision")) for t in range(n_t)))
-    hits = envelope.select(*part, "score", F.explode(F.filter(each, lambda x: x["is_tp"] == 1)).alias("x")).select(*part, "score", "x.*")
-    joined = hits.join(npig, [k for k in (*keys, "category_id", "a") if k in npig.columns]).where("npig > 0")
-    recall, before = F.col("tp") / F.col("npig"), (F.col("tp") - 1) / F.col("npig")
+    n_t, caps = len(params.iou_thrs), list(params.max_dets)
+    bounds = [i / RANGES for i in range(1, RANGES)] if bounds is None else bounds
+    part = [*keys, "category_id", "a", "range"]
+    number = F.lit(len(bounds)) - sum(((F.col("score") >= b).cast("int") for b in bounds), F.lit(0))
+    bits = lambda f: sum((F.when(f(t), F.lit(1 << t).cast("bigint")).otherwise(0) for t in range(n_t)), F.lit(0).cast("bigint"))
+    tp = bits(lambda t: F.col("matched")[t] & ~F.col("ignored")[t]).alias("tp")
+    fp = bits(lambda t: ~F.col("matched")[t] & ~F.col("ignored")[t]).alias("fp")
+    rows = dt_eval.where(F.exists("ignored", lambda x: ~x)).select(*keys, "category_id", "a", number.alias("range"), "score", "image_id", "rank", tp, fp)  # what is ignored at every threshold changes no sum
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, part):
+            first = np.flatnonzero(_new(table, part))
+            stop = np.append(first[1:], len(table))
+            heads = [table.column(c).take(pa.array(first)).combine_chunks() for c in part]
+            rank, score, tp, fp = (table.column(c).to_numpy() for c in ("rank", "score", "tp", "fp"))
+            for m, cap in enumerate(caps):
+                inside = rank <= cap
+                for t in range(n_t):
+                    true = inside & (tp >> t & 1).astype(bool)
+                    false = np.append(0, np.cumsum(inside & (fp >> t & 1).astype(bool)))
+                    count = np.append(0, np.cumsum(true))
+                    before = false[first]
+                    at = np.flatnonzero(true)
+                    offset = pa.array(np.append(0, np.cumsum(count[stop] - count[first])).astype(np.int32))
+                    own = false[at] - np.repeat(before, count[stop] - count[first])
+                    n_fp, n = false[stop] - before, len(first)
+                    columns = [*heads, pa.array(np.full(n, m, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(n_fp), pa.ListArray.from_arrays(offset, pa.array(own)), pa.ListArray.from_arrays(offset, pa.array(score[at]))]
+                    batch = pa.record_batch(columns, names=[*part, "m", "t", "n_fp", "fp", "score"])
+                    yield batch.filter(pa.array((n_fp > 0) | (count[stop] > count[first])))
+
+    fields = ", ".join(f"`{k}` {dt_eval.schema[k].dataType.simpleString()}" for k in (*keys, "category_id", "a"))
+    dealt = rows.repartition(*part).sortWithinPartitions(*part, F.col("score").desc(), "image_id", "rank")
+    return dealt.mapInArrow(run, f"{fields}, range int, m int, t int, n_fp bigint, fp array<bigint>, score array<double>")
+
+
+def _reached(recall: np.ndarray, n: int) -> np.ndarray:
+    """``reached`` on arrays."""
+    top = n - 1
+    f = np.floor(recall * top)
+    return np.minimum(n, f + 1 + ((f + 1) / top <= recall) - (f / top > recall)).astype(np.int32)
+
+
+def _from_here(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The largest of each value and those after it of the same owner (ascending), exactly."""
+    order = np.argsort(values, kind="stable")
+    place = np.empty(len(values), np.int64)
+    place[order] = np.arange(len(values))
+    last = owner[-1] if len(owner) else 0
+    high = np.maximum.accumulate((place + (last - owner) * len(values))[::-1])[::-1]
+    return values[order[high - (last - owner) * len(values)]]
+
+
+def curve(dt_eval: DataFrame, npig: DataFrame, params: Params, keys: tuple[str, ...] = (), bounds: list[float] | None = None) -> DataFrame:
+    """keys, category_id, a, m, t, tp, npig, recall, precision (envelope), score, low, high of the detections that the curve turns on.
+
+    These are the ones at which a recall threshold is first reached, those
+    numbered low (inclusive) to high (exclusive), so the as-of lookup of each
+    threshold is this interval and no join; and the first and last true
+    positive of each range of scores.  ``bounds`` cut the scores (``score_bounds``).
+
+    Two phases: sums within ranges (``hits``), then what the ranges before
+    add, and the largest precision of the ranges behind.
+    """
+    part = [*keys, "category_id", "a", "m", "t"]
+    found = hits(dt_eval, params, keys, bounds)
+    earlier = Window.partitionBy(*part).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = found.select("*", F.coalesce(F.sum(F.size("fp")).over(earlier), F.lit(0)).cast("bigint").alias("tp_before"), F.coalesce(F.sum("n_fp").over(earlier), F.lit(0)).alias("fp_before"))
+    known = npig.where("npig > 0")
+    rows = sums.where(F.size("fp") > 0).drop("n_fp", "range").join(known, [k for k in (*keys, "category_id", "a") if k in npig.columns])
     n_r = len(params.rec_thrs)
-    low = F.when(F.col("tp") == 1, 0).otherwise(reached(before, n_r))
-    return joined.select(*part, "t", "tp", "npig", recall.alias("recall"), "precision", "score", low.alias("low"), reached(recall, n_r).alias("high"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("fp")
+            size = lists.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(batch)), size)
+            of = lambda c: batch.column(c).to_numpy()[owner]
+            own = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + 1
+            n, tp = of("npig"), of("tp_before") + own
+            fp, score = of("fp_before") + lists.flatten().to_numpy(), batch.column("score").flatten().to_numpy()
+            envelope = _from_here(tp / (tp + fp), owner)
+            low, high = np.where(tp == 1, 0, _reached((tp - 1) / n, n_r)).astype(np.int32), _reached(tp / n, n_r)
+            turn = np.flatnonzero((high > low) | (own == 1) | (own == size[owner]))
+            heads = [batch.column(c).take(pa.array(owner[turn])) for c in part]
+            yield pa.record_batch([*heads, *(pa.array(x[turn]) for x in (tp, n, tp / n, envelope, score, low, high))], names=[*part, "tp", "npig", "recall", "precision", "score", "low", "high"])
+
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in part)
+    points = rows.select(*part, F.col("npig").cast("bigint").alias("npig"), "tp_before", "fp_before", "fp", "score").mapInArrow(run, f"{fields}, tp bigint, npig bigint, recall double, precision double, score double, low int, high int")
+    behind = Window.partitionBy(*part).orderBy(F.col("tp").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return points.withColumn("precision", F.max("precision").over(behind))
 
 
 def cells(points: DataFrame, npig: DataFrame, params: Params, keys: tuple[str, ...] = ()) -> DataFrame:

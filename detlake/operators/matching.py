@@ -47,79 +47,63 @@ def box_pairs(dt: DataFrame, gt: DataFrame) -> DataFrame:
     return dt.join(right, ["image_id", "category_id"]).where(touch).withColumn("iou", box_iou(box(), box("g"), F.col("crowd")))
 
 
-def _greedy(rank: np.ndarray, gt: np.ndarray, iou: np.ndarray, free: np.ndarray, ignored: np.ndarray, thr: float) -> dict[int, int]:
-    """Row taken by each rank of one group whose rows are sorted by rank, then gt id.
-
-    Countable ground truth comes first; among those at or over the threshold
-    the best IoU is taken, the later one on ties.  Crowds can be taken again.
+def assign(det: np.ndarray, group: np.ndarray, gt: np.ndarray, iou: np.ndarray, crowd: np.ndarray, ignored: np.ndarray, n_det: int, thrs: np.ndarray) -> np.ndarray:
+    """The pair that each detection takes: [detection, area range, threshold], -1 for none.
+
+    Pairs are sorted by group, detection (in order of rank) and ground truth;
+    ``ignored`` is [pair, area range].  Countable ground truth comes first;
+    among that at or over the threshold the best IoU is taken, the later one
+    on ties.  Crowds can be taken again.  A pair whose detection and ground
+    truth have no other partner stands as it is.  All others go in waves: one
+    detection of every group at a time, for all ranges and thresholds at once.
     """
-    taken: set[int] = set()
-    out: dict[int, int] = {}
-    i, n = 0, len(rank)
-    while i < n:
-        j, best = i, None
-        while j < n and rank[j] == rank[i]:
-            if iou[j] >= thr and (free[j] or gt[j] not in taken):
-                key = (not ignored[j], iou[j])
-                if best is None or key >= best[0]:
-                    best = (key, j)
-            j += 1
-        if best is not None:
-            out[rank[i]] = best[1]
-            taken.add(gt[best[1]])
-        i = j
-    return out
-
-
-def match(pairs: DataFrame, params: Params) -> DataFrame:
-    """Matches of each area range: image_id, category_id, a, rank, gt (array over thresholds, 0-based ground truth id or null), gt_ignored.
-
-    ``pairs`` has image_id, category_id, rank, gt_id, iou, crowd (can be taken
-    again), ignore (in every range; as crowd where it lacks) and gt_area; only
-    pairs at the least threshold or over can match, others are dropped before
-    the shuffle.  Groups stream through sorted partitions.  A group
-    where no detection and no ground truth has two partners needs no fold:
-    its pairs are matches as they stand, for all groups of a batch at once.
-    """
-    thrs = np.array(params.iou_thrs)
-    areas = [(lo, hi) for _, lo, hi in params.areas]
-
-    def fold(t: dict[str, np.ndarray]) -> list[tuple]:
-        group = np.flatnonzero(np.concatenate([[True], (np.diff(t["image_id"]) != 0) | (np.diff(t["category_id"]) != 0)]))
-        stop = np.append(group[1:], len(t["rank"]))
-        number = np.repeat(np.arange(len(group)), stop - group)
-        by_rank = np.unique(np.stack([number, t["rank"]]), axis=1, return_inverse=True, return_counts=True)
-        by_gt = np.unique(np.stack([number, t["gt_id"]]), axis=1, return_inverse=True, return_counts=True)
-        alone = (by_rank[2][by_rank[1].ravel()] == 1) & (by_gt[2][by_gt[1].ravel()] == 1)
-        contended = ~np.bitwise_and.reduceat(alone, group)
-        out = []
-        for a, (lo, hi) in enumerate(areas):
-            ignored = t["ignore"] | (t["gt_area"] < lo) | (t["gt_area"] > hi)
-            easy = np.flatnonzero(~contended[number])
-            hit = t["iou"][easy, None] >= thrs[None, :]
-            gts, igs = np.where(hit, t["gt_id"][easy, None], -1), hit & ignored[easy, None]
-            out.append((t["image_id"][easy], t["category_id"][easy], np.full(len(easy), a), t["rank"][easy], gts, igs))
-            rows: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-            for g in np.flatnonzero(contended):
-                s = slice(group[g], stop[g])
-                parts = (t["rank"][s].tolist(), t["gt_id"][s].tolist(), t["iou"][s].tolist(), t["crowd"][s].tolist(), ignored[s].tolist())
-                for k, thr in enumerate(params.iou_thrs):
-                    for rank, j in _greedy(*parts, thr).items():
-                        gt_row, ig_row = rows.setdefault((t["image_id"][group[g]], t["category_id"][group[g]], rank), (np.full(len(thrs), -1), np.zeros(len(thrs), bool)))
-                        gt_row[k], ig_row[k] = parts[1][j], parts[4][j]
-            if rows:
-                keys = list(rows)
-                out.append((np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.full(len(keys), a), np.array([k[2] for k in keys]), np.stack([v[0] for v in rows.values()]), np.stack([v[1] for v in rows.values()])))
-        return out
-
-    def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for image, cat, a, rank, gts, igs in parts:
-            offset = pa.array(np.arange(len(rank) + 1, dtype=np.int32) * len(thrs))
-            flat = pa.array(gts.ravel(), mask=gts.ravel() < 0)
-            yield pa.record_batch([pa.array(image), pa.array(cat), pa.array(a.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.ListArray.from_arrays(offset, flat), pa.ListArray.from_arrays(offset, pa.array(igs.ravel()))], names=["image_id", "category_id", "a", "rank", "gt", "gt_ignored"])
+    chosen = np.full((n_det, ignored.shape[1], len(thrs)), -1, np.int64)
+    if not len(det):
+        return chosen
+    order = np.lexsort((gt, group))
+    new = np.concatenate([[True], (np.diff(group[order]) != 0) | (np.diff(gt[order]) != 0)])
+    code = np.empty(len(gt), np.int64)
+    code[order] = np.cumsum(new) - 1
+    alone = (np.bincount(det)[det] == 1) & (np.bincount(code)[code] == 1)
+    easy = np.flatnonzero(alone)
+    chosen[det[easy]] = np.where(iou[easy, None] >= thrs, easy[:, None], -1)[:, None, :]
+    rest = np.flatnonzero(~alone)
+    if not len(rest):
+        return chosen
+    new_det = np.concatenate([[True], np.diff(det[rest]) != 0])
+    first = rest[new_det]
+    new_group = np.concatenate([[True], np.diff(group[first]) != 0])
+    at = np.arange(len(first))
+    turn = at - np.maximum.accumulate(np.where(new_group, at, 0))
+    wave = turn[np.cumsum(new_det) - 1]
+    by = np.lexsort((iou[rest], det[rest], wave))
+    rest, wave = rest[by], wave[by]
+    taken = np.zeros((code.max() + 1, *chosen.shape[1:]), bool)
+    edges = np.searchsorted(wave, np.arange(wave[-1] + 2))
+    for low, high in zip(edges[:-1], edges[1:]):
+        pairs = rest[low:high]
+        start = np.flatnonzero(np.concatenate([[True], np.diff(det[pairs]) != 0]))
+        can = (iou[pairs, None] >= thrs)[:, None, :] & (crowd[pairs, None, None] | ~taken[code[pairs]])
+        place = np.arange(1, len(pairs) + 1)[:, None, None]
+        plain = np.maximum.reduceat(np.where(can & ~ignored[pairs, :, None], place, 0), start)
+        best = np.where(plain > 0, plain, np.maximum.reduceat(np.where(can, place, 0), start))
+        got = np.where(best > 0, pairs[best - 1], -1)
+        chosen[det[pairs[start]]] = got
+        i, a, t = np.nonzero(got >= 0)
+        taken[code[got[i, a, t]], a, t] = True
+    return chosen
+
+
+def _by_group(rows: DataFrame, order: list[str | Column], f: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """f over whole groups of an image and category: columns as arrays, sorted, and the number of each row's group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
+
+        def done(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            new = (np.diff(t["image_id"]) != 0) | (np.diff(t["category_id"]) != 0)
+            return f(t, np.concatenate([[0], np.cumsum(new)]))
+
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
             held = {c: np.concatenate([held[c], new[c]]) for c in new} if held else new
@@ -129,31 +113,86 @@ def match(pairs: DataFrame, params: Params) -> DataFrame:
             last = np.flatnonzero((held["image_id"] != held["image_id"][-1]) | (held["category_id"] != held["category_id"][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield from emit(fold({c: x[:cut] for c, x in held.items()}))
+                yield from done({c: x[:cut] for c, x in held.items()})
                 held = {c: x[cut:] for c, x in held.items()}
         if held and len(held["rank"]):
-            yield from emit(fold(held))
+            yield from done(held)
+
+    return rows.repartition("image_id", "category_id").sortWithinPartitions("image_id", "category_id", "rank", *order).mapInArrow(run, schema)
+
+
+def _lists(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    """A row of a matrix as a list each."""
+    offset = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+    return pa.ListArray.from_arrays(offset, pa.array(values.ravel(), mask=None if mask is None else mask.ravel()))
 
+
+def _pair_rows(pairs: DataFrame, params: Params) -> DataFrame:
+    """The columns that matching needs; only pairs at the least threshold or over can match."""
     ignore = F.col("ignore" if "ignore" in pairs.columns else "crowd").alias("ignore")
-    rows = pairs.where(F.col("iou") >= min(params.iou_thrs)).select("image_id", "category_id", "rank", "gt_id", "iou", "crowd", ignore, "gt_area")
-    dealt = rows.repartition("image_id", "category_id").sortWithinPartitions("image_id", "category_id", "rank", "gt_id")
-    return dealt.mapInArrow(run, "image_id bigint, category_id bigint, a int, rank int, gt array<bigint>, gt_ignored array<boolean>")
+    long = [F.col(c).cast("bigint").alias(c) for c in ("image_id", "category_id")]
+    return pairs.where(F.col("iou") >= min(params.iou_thrs)).select(*long, "rank", F.col("gt_id").cast("bigint").alias("gt_id"), F.col("iou").cast("double").alias("iou"), "crowd", ignore, F.col("gt_area").cast("double").alias("gt_area"))
+
+
+def _ignored(t: dict[str, np.ndarray], areas: np.ndarray) -> np.ndarray:
+    return t["ignore"][:, None] | (t["gt_area"][:, None] < areas[:, 0]) | (t["gt_area"][:, None] > areas[:, 1])
+
+
+def match(pairs: DataFrame, params: Params) -> DataFrame:
+    """Matches of each area range: image_id, category_id, a, rank, gt (array over thresholds, 0-based ground truth id or null), gt_ignored.
+
+    ``pairs`` has image_id, category_id, rank, gt_id, iou, crowd (can be taken
+    again), ignore (in every range; as crowd where it lacks) and gt_area.
+    Pairs under the least threshold are dropped before the shuffle; a
+    detection without any other pair has no row.
+    """
+    thrs, areas = np.array(params.iou_thrs), np.array([(lo, hi) for _, lo, hi in params.areas])
+
+    def found(t: dict[str, np.ndarray], group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        det = np.concatenate([[0], np.cumsum((np.diff(group) != 0) | (np.diff(t["rank"]) != 0))])
+        ignored = _ignored(t, areas)
+        chosen = assign(det, group, t["gt_id"], t["iou"], t["crowd"], ignored, det[-1] + 1, thrs)
+        first = np.flatnonzero(np.diff(det, prepend=-1))
+        ids = [pa.array(t[c][first]) for c in ("image_id", "category_id")]
+        for a in range(len(areas)):
+            pair = chosen[:, a]
+            yield pa.record_batch([*ids, pa.array(np.full(len(first), a, np.int32)), pa.array(t["rank"][first].astype(np.int32)), _lists(t["gt_id"][pair], pair < 0), _lists((pair >= 0) & ignored[pair, a])], names=["image_id", "category_id", "a", "rank", "gt", "gt_ignored"])
+
+    return _by_group(_pair_rows(pairs, params), ["gt_id"], found, "image_id bigint, category_id bigint, a int, rank int, gt array<bigint>, gt_ignored array<boolean>")
 
 
-def evaluated(dt: DataFrame, matches: DataFrame, params: Params) -> DataFrame:
-    """One row per detection and area range, with matched and ignored over thresholds.
+def evaluated(dt: DataFrame, pairs: DataFrame, params: Params) -> DataFrame:
+    """One row per detection and area range: image_id, category_id, a, rank, dt_id, score, gt, matched and ignored over thresholds.
 
-    A matched detection is ignored as its ground truth is; an unmatched one if its own area is out of range.
+    A matched detection is ignored as its ground truth is; an unmatched one
+    if its own area is out of range.  Detections travel with their pairs, so
+    one shuffle by image and category does it all; those without an image or
+    category are left out.
     """
-    n = len(params.iou_thrs)
-    ranges = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for a, (_, lo, hi) in enumerate(params.areas)))
-    rows = dt.select("image_id", "category_id", "rank", F.col("id").alias("dt_id"), "score", "area", F.explode(ranges).alias("r")).select("*", "r.*").drop("r")
-    none = F.array_repeat(F.lit(None).cast("bigint"), n)
-    joined = rows.join(matches, ["image_id", "category_id", "a", "rank"], "left")
-    own = (F.col("area") < F.col("lo")) | (F.col("area") > F.col("hi"))
-    gt = F.coalesce("gt", none)
-    ignored = F.transform(gt, lambda g, i: F.when(g.isNull(), own).otherwise(F.col("gt_ignored")[i]))
-    return joined.select("image_id", "category_id", "a", "rank", "dt_id", "score", gt.alias("gt"), F.transform(gt, lambda g: g.isNotNull()).alias("matched"), ignored.alias("ignored"))
+    thrs, areas = np.array(params.iou_thrs), np.array([(lo, hi) for _, lo, hi in params.areas])
+    zero, no = F.lit(0.0), F.lit(False)
+    rows = _pair_rows(pairs, params).select("*", no.alias("own"), F.lit(0).cast("bigint").alias("dt_id"), zero.alias("score"), zero.alias("area"))
+    long = [F.col(c).cast("bigint").alias(c) for c in ("image_id", "category_id")]
+    marks = dt.where("image_id is not null and category_id is not null").select(*long, "rank", F.lit(0).cast("bigint").alias("gt_id"), zero.alias("iou"), no.alias("crowd"), no.alias("ignore"), zero.alias("gt_area"), F.lit(True).alias("own"), F.col("id").cast("bigint").alias("dt_id"), F.col("score").cast("double").alias("score"), F.coalesce(F.col("area").cast("double"), zero).alias("area"))
+
+    def found(t: dict[str, np.ndarray], group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = t["own"]
+        mine, theirs = {c: x[own] for c, x in t.items()}, {c: x[~own] for c, x in t.items()}
+        det = (np.cumsum(own) - 1)[~own]
+        ignored = _ignored(theirs, areas)
+        chosen = assign(det, group[~own], theirs["gt_id"], theirs["iou"], theirs["crowd"], ignored, int(own.sum()), thrs)
+        ids = [pa.array(mine[c]) for c in ("image_id", "category_id")]
+        some = [pa.array(mine["rank"].astype(np.int32)), pa.array(mine["dt_id"]), pa.array(mine["score"])]
+        gt_id = np.append(theirs["gt_id"], 0)  # the last entry, -1, stands for none
+        ignored = np.concatenate([ignored, np.zeros((1, len(areas)), bool)])
+        for a, (low, high) in enumerate(areas):
+            pair = chosen[:, a]
+            none = pair < 0
+            out = (mine["area"] < low) | (mine["area"] > high)
+            yield pa.record_batch([*ids, pa.array(np.full(len(out), a, np.int32)), *some, _lists(gt_id[pair], none), _lists(~none), _lists(np.where(none, out[:, None], ignored[pair, a]))], names=["image_id", "category_id", "a", "rank", "dt_id", "score", "gt", "matched", "ignored"])
+
+    schema = "image_id bigint, category_id bigint, a int, rank int, dt_id bigint, score double, gt array<bigint>, matched array<boolean>, ignored array<boolean>"
+    return _by_group(marks.unionByName(rows), [F.col("own").desc(), "gt_id"], found, schema)
 
 
 def gt_counts(gt: DataFrame, params: Params) -> DataFrame:
@@ -169,4 +208,4 @@ def total(counts: DataFrame, *keys: str) -> DataFrame:
 def evaluate(gt: DataFrame, dt: DataFrame, params: Params, pairs: Pairs = box_pairs) -> tuple[DataFrame, DataFrame]:
     """(dt_eval, counts): detections as ``evaluated`` gives them, and ``gt_counts``; ``pairs`` gives the similarity."""
     gt, dt = pooled(gt, params), ranked(dt, params)
-    return evaluated(dt, match(pairs(dt, gt), params), params), gt_counts(gt, params)
+    return evaluated(dt, pairs(dt, gt), params), gt_counts(gt, params)
