@@ -6,7 +6,6 @@ import argparse
 import json
 import os
 import sys
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +73,7 @@ def evaluate(spark: SparkSession, args) -> None:
         out["label errors"] = _rows(e.label_errors(args.diag_iou_thr, args.diag_score_thr).orderBy(F.col("score").desc(), "dt_id").limit(20))
     if args.slices:
         out["slices"] = _rows(e.sliced(slice_rows(spark, args.slices)).orderBy("slice", "metric"))
+        out["slice sizes"] = _rows(e.slice_sizes(slice_rows(spark, args.slices)).orderBy("slice"))
     if args.output:
         e.save_results(args.output, per_class=True)
     _report(args, out)
@@ -125,6 +125,8 @@ def convert(spark: SparkSession, args) -> None:
         dims = None
         if args.dims:
             dims = spark.read.csv(args.dims, "stem string, width int, height int", header=True)
+        elif args.images:
+            dims = formats.image_sizes(spark, args.images)
         reader = {"yolo": lambda: formats.read_yolo(spark, args.input, dims), "dota": lambda: formats.read_dota(spark, args.input, dims), "voc": lambda: formats.read_voc(spark, args.input), "cvat": lambda: formats.read_cvat(spark, args.input)}
         coco_json.save(reader[args.source](), args.output)
         return
@@ -147,10 +149,7 @@ def convert(spark: SparkSession, args) -> None:
 def compare(spark: SparkSession, args) -> None:
     d = coco_json.read(spark, args.gt)
     a, b = (Evaluation(d, coco_json.read_detections(spark, p), args.kind, "federated" if args.federated else "coco") for p in (args.dt_a, args.dt_b))
-    both = {n: r for n, e in (("a", a), ("b", b)) for r in [e.run().per_category().withColumnRenamed("ap", f"ap_{n}")]}
-    per = reduce(lambda x, y: x.join(y, "category_id", "full_outer"), both.values()).fillna(0.0)
-    delta = per.withColumn("delta", F.col("ap_b") - F.col("ap_a")).orderBy("delta", "category_id")
-    _report(args, {f"{args.name_a} and {args.name_b}": _rows(a.compare(b, args.bootstrap, args.seed, args.confidence)), "categories": _rows(delta)})
+    _report(args, {f"{args.name_a} and {args.name_b}": _rows(a.compare(b, args.bootstrap, args.seed, args.confidence)), "categories": _rows(a.compare_categories(b))})
 
 
 def parser() -> argparse.ArgumentParser:
@@ -217,6 +216,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--to", dest="target", required=True, choices=["coco", "yolo", "voc", "cvat", "dota"])
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
+    p.add_argument("--images", help="folder of image files to read sizes from")
     p.add_argument("--dims", help="CSV of stem, width, height for formats without image sizes")
     p = command("compare", compare, "compare two models")
     p.add_argument("--gt", required=True)

@@ -49,7 +49,7 @@ class Evaluation:
         for column, values in (("image_id", img_ids), ("category_id", cat_ids)):
             if values:
                 gt, dt = (x.where(F.col(column).isin(*values)) for x in (gt, dt))
-        gt, dt = (x.join(F.broadcast(known), "category_id", "left_semi") for x in (gt, dt))
+        gt, dt = (x.join(known, "category_id", "left_semi") for x in (gt, dt))
         self.gt, self.dt, self.pairs = gt, dt, box_pairs
         if kind == "segm":
             self.gt, self.dt = (similarity.with_masks(x, dataset.images) for x in (gt, dt))
@@ -159,11 +159,27 @@ class Evaluation:
     def calibration_errors(self, n_bins: int = 10, iou_threshold: float = 0.5, by_category: bool = False) -> DataFrame:
         return analysis.calibration_errors(self.calibration(n_bins, iou_threshold, by_category))
 
-    def sliced(self, slices: DataFrame | dict[str, list[int]]) -> DataFrame:
-        """slices: slice and image_id, or image ids by slice name."""
-        if isinstance(slices, dict):
-            slices = slice_rows(self.gt.sparkSession, slices)
-        return analysis.sliced(self.matches, self.counts, slices, self.params, self.table)
+    def _slices(self, slices) -> DataFrame:
+        if callable(slices):
+            named = self.dataset.images.select(slices(self.dataset.images).alias("slice"), F.col("id").alias("image_id"))
+            return named.where("slice is not null")
+        return slice_rows(self.gt.sparkSession, slices) if isinstance(slices, dict) else slices
+
+    def sliced(self, slices) -> DataFrame:
+        """slices: slice and image_id, image ids by slice name, or a function of images that gives the column of slice names (null: none)."""
+        return analysis.sliced(self.matches, self.counts, self._slices(slices), self.params, self.table)
+
+    def slice_sizes(self, slices) -> DataFrame:
+        """slice, num_images of the same slices, and of all images as _overall."""
+        return analysis.slice_sizes(self._slices(slices), self.dataset.images.select(F.col("id").alias("image_id")))
+
+    def confusion_matrix(self, iou_thr: float = 0.5, max_det: int | None = None, min_score: float | None = None):
+        """The whole matrix on the driver with the background last, and the categories' ids."""
+        return reports.confusion_matrix(self.confusion(iou_thr, max_det, min_score), self.dataset.categories)
+
+    def arrays(self) -> dict:
+        """precision, scores and recall as dense arrays on the driver, and ``stats``, the summary in order."""
+        return {**reports.arrays(self.points, self.npig, self.params), "stats": list(self.metrics.values())}
 
     def statuses(self, iou_thr: float = 0.5) -> tuple[DataFrame, DataFrame]:
         return analysis.statuses(self.matches, self.gt, self.params, iou_thr)
@@ -183,6 +199,10 @@ class Evaluation:
             raise ValueError("the evaluations differ in kind or parameters")
         return analysis.compare(self.gt, self.dt, other.dt, self.params, n_bootstrap, seed, confidence, self.table, self.pairs)
 
+    def compare_categories(self, other: Evaluation) -> DataFrame:
+        """category_id, name, ap_a, ap_b, delta, on the images that both have; least delta first."""
+        return analysis.compare_categories(self.gt, self.dt, other.dt, self.dataset.categories, self.params, self.pairs).orderBy("delta", "category_id")
+
 
 def slice_rows(spark: SparkSession, slices: dict[str, list[int]] | str) -> DataFrame:
     """slice, image_id from image ids by slice name, or a JSON file of them."""

@@ -188,7 +188,7 @@ def sliced(dt_eval: DataFrame, counts: DataFrame, slices: DataFrame, params: Par
     got = metrics.summary(curve.cells(points, n, params, ("slice",)), params, table, ("slice",))
     base = got.where("slice = '_overall'").select("metric", F.col("value").alias("base"))
     delta = F.when((F.col("value") < 0) | (F.col("base") < 0), 0.0).otherwise(F.col("value") - F.col("base"))
-    return got.join(F.broadcast(base), "metric").select("slice", "metric", "value", delta.alias("delta"))
+    return got.join(base, "metric").select("slice", "metric", "value", delta.alias("delta"))
 
 
 def draw(seed: int, sample: Column, number: Column, n: Column) -> Column:
@@ -202,24 +202,22 @@ def compare(gt: DataFrame, dt_a: DataFrame, dt_b: DataFrame, params: Params, n_b
     """metric, a, b, delta (0 where a side is -1) and, from bootstrap samples of images, lower, upper, prob_positive, std_err.
 
     A sample is the set of distinct images among n draws with replacement.
-    Images get numbers by a distributed ranking; each sample is one more
-    grouping key, so all samples are one plan and matching isn't repeated.
+    Images get numbers by a distributed ranking and draws are made by all
+    tasks; each sample is one more grouping key of rows that hold only bits,
+    so all samples are one plan and matching isn't repeated.
     """
-    parts = [evaluate(gt, d, params, pairs) for d in (dt_a, dt_b)]
-    rows = parts[0][0].withColumn("model", F.lit("a")).unionByName(parts[1][0].withColumn("model", F.lit("b")))
-    counts = parts[0][1]
-    images = gt.select("image_id").unionByName(dt_a.select("image_id")).distinct().intersect(gt.select("image_id").unionByName(dt_b.select("image_id")).distinct())
+    rows, counts, images = _both(gt, dt_a, dt_b, params, pairs)
     shared = images.select("image_id", F.lit(-1).alias("boot"))
     if n_bootstrap:
         order = numbered(images.withColumnRenamed("image_id", "id"), F.col("id")).withColumnRenamed("id", "image_id")
-        n = order.agg(F.count("*").alias("n"))
-        draws = images.sparkSession.range(n_bootstrap).select(F.col("id").cast("int").alias("boot")).crossJoin(F.broadcast(n)).select("boot", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
-        picked = draws.select("boot", draw(seed, F.col("boot"), F.col("j"), F.col("n")).alias("number")).distinct()
+        n = F.lit(images.count()).cast("bigint")
+        draws = images.sparkSession.range(n_bootstrap * images.count()).select((F.col("id") / n).cast("int").alias("boot"), (F.col("id") % n).alias("j"))
+        picked = draws.select("boot", draw(seed, F.col("boot"), F.col("j"), n).alias("number")).distinct()
         shared = shared.unionByName(picked.join(order, "number").select("image_id", "boot"))
     keys = ("model", "boot")
-    models = images.sparkSession.createDataFrame([("a",), ("b",)], "model string")
-    n = total(counts.join(shared, "image_id"), "boot").crossJoin(F.broadcast(models))
-    points = curve.curve(rows.join(shared, "image_id"), n, params, keys)
+    model = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model")
+    n = total(counts.join(shared, "image_id"), "boot").select("*", model)
+    points = curve.curve(curve.narrow(rows, params, ("model",)).join(shared, "image_id"), n, params, keys)
     got = metrics.summary(curve.cells(points, n, params, keys), params, table, keys)
     wide = got.groupBy("boot", "metric").pivot("model", ["a", "b"]).agg(F.first("value"))
     wide = wide.withColumn("delta", F.when((F.col("a") < 0) | (F.col("b") < 0), 0.0).otherwise(F.col("b") - F.col("a")))
@@ -232,6 +230,36 @@ def compare(gt: DataFrame, dt_a: DataFrame, dt_b: DataFrame, params: Params, n_b
     return point.join(spread, "metric").select("metric", "a", "b", "delta", F.col("d")[low].alias("lower"), F.col("d")[high].alias("upper"), "prob_positive", "std_err")
 
 
+def _both(gt: DataFrame, dt_a: DataFrame, dt_b: DataFrame, params: Params, pairs: Pairs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evaluated detections of both models (a and b in column model), counts, and the images that both have."""
+    parts = [evaluate(gt, d, params, pairs) for d in (dt_a, dt_b)]
+    rows = parts[0][0].withColumn("model", F.lit("a")).unionByName(parts[1][0].withColumn("model", F.lit("b")))
+    images = gt.select("image_id").unionByName(dt_a.select("image_id")).distinct().intersect(gt.select("image_id").unionByName(dt_b.select("image_id")).distinct())
+    return rows, parts[0][1], images
+
+
+def compare_categories(gt: DataFrame, dt_a: DataFrame, dt_b: DataFrame, categories: DataFrame, params: Params, pairs: Pairs = box_pairs) -> DataFrame:
+    """category_id, name, ap_a, ap_b, delta of every category that either model has an AP of, on the shared images.
+
+    An absent AP is -1 and counts as 0 in the delta; a category without a
+    name has its id in place of it.
+    """
+    rows, counts, images = _both(gt, dt_a, dt_b, params, pairs)
+    n = total(counts.join(images, "image_id"))
+    cells = curve.cells(curve.curve(rows.join(images, "image_id"), n.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model")), params, ("model",)), n.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model")), params, ("model",))
+    last = cells.where((F.col("a") == 0) & (F.col("m") == len(params.max_dets) - 1))
+    ap = last.groupBy("category_id").pivot("model", ["a", "b"]).agg(F.avg("ap")).select("category_id", F.coalesce("a", F.lit(-1.0)).alias("ap_a"), F.coalesce("b", F.lit(-1.0)).alias("ap_b"))
+    zero = F.lit(0.0)
+    named = ap.join(categories.select(F.col("id").alias("category_id"), "name"), "category_id", "left")
+    return named.select("category_id", F.coalesce("name", F.col("category_id").cast("string")).alias("name"), "ap_a", "ap_b", (F.greatest("ap_b", zero) - F.greatest("ap_a", zero)).alias("delta"))
+
+
+def slice_sizes(slices: DataFrame, images: DataFrame) -> DataFrame:
+    """slice, num_images: distinct images named by each slice, and all evaluated ones (image_id) as _overall."""
+    named = slices.groupBy("slice").agg(F.count_distinct("image_id").alias("num_images"))
+    return named.unionByName(images.agg(F.count_distinct("image_id").alias("num_images")).select(F.lit("_overall").alias("slice"), "num_images"))
+
+
 def federated(gt: DataFrame, dt: DataFrame, images: DataFrame, params: Params | None = None, pairs: Pairs = box_pairs) -> tuple[DataFrame, DataFrame]:
     """Evaluation with partial annotation: images has id, neg_category_ids and not_exhaustive_category_ids.
 

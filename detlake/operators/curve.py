@@ -58,21 +58,27 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], rows: i
         yield pa.Table.from_batches(held)
 
 
+def narrow(dt_eval: DataFrame, params: Params, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, category_id, a, score, image_id, rank and a bit for each threshold: tp and fp. Rows that change no sum are left out."""
+    bits = lambda f: sum((F.when(f(t), F.lit(1 << t).cast("bigint")).otherwise(0) for t in range(len(params.iou_thrs))), F.lit(0).cast("bigint"))
+    tp = bits(lambda t: F.col("matched")[t] & ~F.col("ignored")[t]).alias("tp")
+    fp = bits(lambda t: ~F.col("matched")[t] & ~F.col("ignored")[t]).alias("fp")
+    return dt_eval.select(*keys, "category_id", "a", "score", "image_id", "rank", tp, fp).where("tp <> 0 or fp <> 0")
+
+
 def hits(dt_eval: DataFrame, params: Params, keys: tuple[str, ...] = (), bounds: list[float] | None = None) -> DataFrame:
     """keys, category_id, a, range, m, t, n_fp, and of each true positive the false ones before it (fp) and its score.
 
     Detections rank by score, then image and rank in it.  Scores are cut into
     ranges (the highest first), so that a category is dealt over many tasks;
-    sums run within a range.
+    sums run within a range.  dt_eval may be ``narrow`` already.
     """
     n_t, caps = len(params.iou_thrs), list(params.max_dets)
     bounds = [i / RANGES for i in range(1, RANGES)] if bounds is None else bounds
     part = [*keys, "category_id", "a", "range"]
     number = F.lit(len(bounds)) - sum(((F.col("score") >= b).cast("int") for b in bounds), F.lit(0))
-    bits = lambda f: sum((F.when(f(t), F.lit(1 << t).cast("bigint")).otherwise(0) for t in range(n_t)), F.lit(0).cast("bigint"))
-    tp = bits(lambda t: F.col("matched")[t] & ~F.col("ignored")[t]).alias("tp")
-    fp = bits(lambda t: ~F.col("matched")[t] & ~F.col("ignored")[t]).alias("fp")
-    rows = dt_eval.where(F.exists("ignored", lambda x: ~x)).select(*keys, "category_id", "a", number.alias("range"), "score", "image_id", "rank", tp, fp)  # what is ignored at every threshold changes no sum
+    rows = dt_eval if "tp" in dt_eval.columns else narrow(dt_eval, params, keys)
+    rows = rows.select(*keys, "category_id", "a", number.alias("range"), "score", "image_id", "rank", "tp", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, part):

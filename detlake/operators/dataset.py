@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from detlake.functions.geometry import box, box_iou
@@ -22,19 +22,31 @@ class Dataset:
     annotations: DataFrame
     categories: DataFrame
     image_dir: str | None = None
+    #: Free-form sections of a document, small and kept as JSON text.
+    info: str | None = None
+    licenses: str | None = None
 
     # Look-ups. Empty arguments don't filter.
     def ann_ids(self, img_ids=(), cat_ids=(), area_rng=None, iscrowd: bool | None = None) -> DataFrame:
+        """Ids in order; an image that is named twice gives its annotations twice."""
         out = self.annotations
         if img_ids:
-            out = out.where(F.col("image_id").isin(*img_ids))
+            out = out.join(self.images.sparkSession.createDataFrame([(int(i),) for i in img_ids], "image_id bigint"), "image_id")
         if cat_ids:
             out = out.where(F.col("category_id").isin(*cat_ids))
         if area_rng is not None:
             out = out.where(F.coalesce("area", F.lit(0.0)).between(*area_rng))
         if iscrowd is not None:
             out = out.where(F.coalesce("iscrowd", F.lit(False)) == iscrowd)
-        return out.select("id")
+        return out.select("id").orderBy("id")
+
+    def postings(self) -> DataFrame:
+        """image_id, category_id, ids (in order): the annotations of every image and category that have any."""
+        return self.annotations.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+    def pairs(self) -> DataFrame:
+        """image_id, category_id that have annotations."""
+        return self.annotations.select("image_id", "category_id").distinct()
 
     def cat_ids(self, names=(), supernames=(), ids=()) -> DataFrame:
         out = self.categories
@@ -54,7 +66,7 @@ class Dataset:
     def load(self, table: str, ids: list[int]) -> DataFrame:
         """Rows of a table in the order of ids; unknown ids are dropped, repeated ones repeat."""
         wanted = self.images.sparkSession.createDataFrame(list(enumerate(ids)), "pos bigint, id bigint")
-        return getattr(self, table).join(F.broadcast(wanted), "id").orderBy("pos").drop("pos")
+        return getattr(self, table).join(wanted, "id").orderBy("pos").drop("pos")
 
     def filter(self, cat_ids=None, img_ids=None, area_rng=None, drop_empty_images: bool = True) -> Dataset:
         """Keeps matching annotations, their categories, and their images (or, if empty ones stay, the images asked for)."""
@@ -125,10 +137,14 @@ def seeded(seed: int) -> Column:
 def merge(datasets: list[Dataset]) -> Dataset:
     """All datasets as one: categories of the first, image and annotation ids moved behind those before.
 
-    Category names with supercategories must be the same in all; ids are mapped by them.
+    Category names with supercategories must be the same in all; ids are
+    mapped by them.  info and licenses are the first's.  No datasets merge
+    into an empty one, in the active session.
     """
     if not datasets:
-        raise ValueError("nothing to merge")
+        from detlake.sources.coco_json import empty
+
+        return empty(SparkSession.active())
     first = datasets[0]
     pair = lambda d: {(r["name"], r["supercategory"]): r["id"] for r in d.categories.select("id", "name", "supercategory").collect()}  # noqa: E731 (taxonomies are small)
     known, at_image, at_ann = pair(first), 0, 0
@@ -143,7 +159,7 @@ def merge(datasets: list[Dataset]) -> Dataset:
         at_image += d.images.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         at_ann += d.annotations.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     join = lambda parts: parts[0] if len(parts) == 1 else join([parts[0].unionByName(parts[1], allowMissingColumns=True), *parts[2:]])
-    return Dataset(join(images), join(anns), first.categories)
+    return Dataset(join(images), join(anns), first.categories, info=first.info, licenses=first.licenses)
 
 
 def near_duplicates(annotations: DataFrame, thr: float = 0.95, most: int = 100) -> DataFrame:

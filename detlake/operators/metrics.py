@@ -39,7 +39,7 @@ def per_category(cells: DataFrame, params: Params) -> DataFrame:
 
 
 def f_scores(points: DataFrame, npig: DataFrame, params: Params, beta: float = 1.0) -> DataFrame:
-    """metric, value: best F over recall thresholds, averaged over thresholds and categories, and at 0.5 and 0.75."""
+    """metric, value: best F over recall thresholds, averaged over thresholds and categories, and at 0.5 and 0.75 (-1 where that is no threshold)."""
     last = len(params.max_dets) - 1
     b = beta * beta
     r = F.col("r") / (len(params.rec_thrs) - 1)
@@ -48,7 +48,8 @@ def f_scores(points: DataFrame, npig: DataFrame, params: Params, beta: float = 1
     best = at.groupBy("category_id", "t").agg(F.max(f).alias("f"))
     grid = npig.where("npig > 0 and a = 0").select("category_id", F.explode(F.sequence(F.lit(0), F.lit(len(params.iou_thrs) - 1))).alias("t"))
     full = grid.join(best, ["category_id", "t"], "left").fillna(0.0, ["f"])
-    name = f"F{beta:g}" if beta == int(beta) else f"F{beta:.1f}"
-    pick = {name: None, f"{name}50": 0, f"{name}75": 5}
+    name = "F1" if abs(beta - 1) < 1e-9 else f"F{beta:.1f}"
+    near = lambda thr: next((i for i, x in enumerate(params.iou_thrs) if abs(x - thr) < 1e-9), -1)
+    pick = {name: None, f"{name}50": near(0.5), f"{name}75": near(0.75)}
     wide = full.agg(*(F.coalesce(F.avg(F.col("f") if t is None else F.when(F.col("t") == t, F.col("f"))), F.lit(-1.0)).alias(k) for k, t in pick.items()))
-    return wide.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, pick)), F.array(*(F.col(k) for k in pick)))).alias("metric", "value"))
+    return wide.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, pick)), F.array(*(F.col(f"`{k}`") for k in pick)))).alias("metric", "value"))

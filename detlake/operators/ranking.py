@@ -22,3 +22,20 @@ def numbered(rows: DataFrame, key: Column) -> DataFrame:
     start = F.element_at(F.array(*(F.lit(sum(n for p, n in sizes.items() if p < q)).cast("bigint") for q in range(len(bounds) + 1))), F.col("_part") + 1)
     within = F.row_number().over(Window.partitionBy("_part").orderBy("_key", "id")) - 1
     return placed.withColumn("number", within + start).drop("_key", "_part")
+
+
+def numbered_names(rows: DataFrame, name: str) -> DataFrame:
+    """name, number: the distinct texts of a column as 1 .. n in their order (null has none).
+
+    Bounds come from a sample of bounded size, the texts of least hash, so
+    every run cuts alike; the driver gets these and one count for each range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = rows.select(name).where(F.col(name).isNotNull()).distinct()
+    some = sorted(r[0] for r in names.orderBy(F.xxhash64(name), name).limit(16 * parts).collect())
+    bounds = some[16::16]
+    placed = names.withColumn("_part", sum(((F.col(name) >= b).cast("int") for b in bounds), F.lit(0)))
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    start = F.element_at(F.array(*(F.lit(sum(n for p, n in sizes.items() if p < q)).cast("bigint") for q in range(len(bounds) + 1))), F.col("_part") + 1)
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(name))
+    return placed.select(name, (within + start).alias("number"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +57,10 @@ def save_results(doc: dict, path: str) -> None:
 
 
 def named_aps(per_category: DataFrame, categories: DataFrame, prefix: str | None = None) -> DataFrame:
-    """metric, value: AP/name (under a prefix) of every known category with ground truth."""
+    """metric, value: AP/name (under a prefix) of every category with ground truth; one without a name is cat_ and its id."""
     head = F.lit(f"{prefix}/AP/" if prefix else "AP/")
     names = categories.select(F.col("id").alias("category_id"), "name")
-    return per_category.where("ap >= 0").join(F.broadcast(names), "category_id").select(F.concat(head, "name").alias("metric"), F.col("ap").alias("value"))
+    return per_category.where("ap >= 0").join(names, "category_id", "left").select(F.concat(head, F.coalesce("name", F.concat(F.lit("cat_"), F.col("category_id").cast("string")))).alias("metric"), F.col("ap").alias("value"))
 
 
 def headlines(summary: DataFrame) -> DataFrame:
@@ -107,13 +108,58 @@ def top_confusions(confusion: DataFrame, n: int = 20) -> DataFrame:
     return off.orderBy(F.col("n").desc(), "gt_category_id", "dt_category_id").limit(n)
 
 
+def confused_classes(confusion: DataFrame, n: int = 25) -> DataFrame:
+    """category_id, mass of the n categories with most confusions among categories, in either direction; ties by id."""
+    off = confusion.where(f"gt_category_id <> dt_category_id and gt_category_id <> {BACKGROUND} and dt_category_id <> {BACKGROUND}")
+    both = off.select(F.explode(F.array("gt_category_id", "dt_category_id")).alias("category_id"), "n")
+    return both.groupBy("category_id").agg(F.sum("n").alias("mass")).orderBy(F.col("mass").desc(), "category_id").limit(n)
+
+
+def full_confusion(confusion: DataFrame, categories: DataFrame) -> DataFrame:
+    """gt_category_id, dt_category_id, n, share of every cell, the background's and empty ones included."""
+    ids = categories.select("id").distinct().unionByName(categories.sparkSession.createDataFrame([(BACKGROUND,)], "id bigint"))
+    grid = ids.select(F.col("id").alias("gt_category_id")).crossJoin(ids.select(F.col("id").alias("dt_category_id")))  # the matrix itself
+    return grid.join(confusion, ["gt_category_id", "dt_category_id"], "left").fillna(0, ["n"]).fillna(0.0, ["share"])
+
+
+def confusion_matrix(confusion: DataFrame, categories: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The matrix on the driver, ground truth by row, background last, and the categories' ids in order."""
+    ids = sorted(r["id"] for r in categories.select("id").distinct().collect())
+    place = {i: k for k, i in enumerate([*ids, BACKGROUND])}
+    out = np.zeros((len(place), len(place)), np.int64)
+    for r in confusion.select("gt_category_id", "dt_category_id", "n").collect():  # at most a row for each cell
+        if r["gt_category_id"] in place and r["dt_category_id"] in place:
+            out[place[r["gt_category_id"]], place[r["dt_category_id"]]] = r["n"]
+    return out, ids
+
+
+def arrays(points: DataFrame, npig: DataFrame, params: Params) -> dict[str, np.ndarray]:
+    """precision and scores [t, r, category, a, m] and recall [t, category, a, m] on the driver; -1 without ground truth.
+
+    ``points`` is a curve; at most a row for each recall threshold is taken.
+    """
+    n_t, n_r, n_a, n_m = len(params.iou_thrs), len(params.rec_thrs), len(params.areas), len(params.max_dets)
+    known = [(r["category_id"], r["a"]) for r in npig.where("npig > 0").select("category_id", "a").collect()]
+    ids = sorted(r["category_id"] for r in npig.select("category_id").distinct().collect())
+    place = {c: k for k, c in enumerate(ids)}
+    precision = np.full((n_t, n_r, len(ids), n_a, n_m), -1.0)
+    scores, recall = precision.copy(), np.full((n_t, len(ids), n_a, n_m), -1.0)
+    for c, a in known:
+        precision[:, :, place[c], a] = scores[:, :, place[c], a] = recall[:, place[c], a] = 0.0
+    for r in points.select("category_id", "a", "m", "t", "recall", "precision", "score", "low", "high").collect():
+        k, a, m, t = place[r["category_id"]], r["a"], r["m"], r["t"]
+        precision[t, r["low"] : r["high"], k, a, m], scores[t, r["low"] : r["high"], k, a, m] = r["precision"], r["score"]
+        recall[t, k, a, m] = max(recall[t, k, a, m], r["recall"])
+    return {"precision": precision, "scores": scores, "recall": recall, "category_ids": np.array(ids)}
+
+
 def rolled_up(confusion: DataFrame, categories: DataFrame) -> DataFrame:
     """gt_group, dt_group, n: the confusion matrix by supercategory (the name where there is none; ``background``)."""
     group = F.when(F.coalesce("supercategory", F.lit("")) == "", F.col("name")).otherwise(F.col("supercategory"))
     names = categories.select("id", group.alias("g"))
     out = confusion
     for side in ("gt", "dt"):
-        out = out.join(F.broadcast(names.select(F.col("id").alias(f"{side}_category_id"), F.col("g").alias(f"_{side}"))), f"{side}_category_id", "left")
+        out = out.join(names.select(F.col("id").alias(f"{side}_category_id"), F.col("g").alias(f"_{side}")), f"{side}_category_id", "left")
         known = F.coalesce(f"_{side}", F.col(f"{side}_category_id").cast("string"))
         out = out.withColumn(f"{side}_group", F.when(F.col(f"{side}_category_id") == BACKGROUND, "background").otherwise(known))
     return out.groupBy("gt_group", "dt_group").agg(F.sum("n").alias("n"))
@@ -162,7 +208,7 @@ def image_view(d: Dataset, dt: DataFrame | None = None, status: tuple[DataFrame,
     under score_thr (without a score: 1) and unknown categories are left out.
     status is that of ``analysis.statuses``; ignored rows have none.
     """
-    names = F.broadcast(d.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category")))
+    names = d.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
     none = lambda t: F.lit(None).cast(t)
     gt = d.annotations.select("image_id", "category_id", "id", *"xywh", none("double").alias("score"))
     if status is not None:

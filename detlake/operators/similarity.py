@@ -7,13 +7,15 @@ bounds don't touch have similarity 0 and never reach the Arrow functions.
 from __future__ import annotations
 
 import json
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detlake.functions import masks
-from detlake.functions.geometry import oks, rotated_bounds, visible_keypoints
+from detlake.functions.geometry import EPSILON, every, oks, rotated_bounds, visible_keypoints
 from detlake.operators.matching import Pairs, ignored_always
 from detlake.operators.params import OKS_SIGMAS
 
@@ -76,7 +78,10 @@ def _touch(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 
 
 def _mask_iou(dt: pd.Series, dh: pd.Series, dw: pd.Series, gt: pd.Series, gh: pd.Series, gw: pd.Series, crowd: pd.Series) -> pd.Series:
-    return pd.Series([masks.iou((a, b, list(d)), (x, y, list(g)), c) for d, a, b, g, x, y, c in zip(dt, dh, dw, gt, gh, gw, crowd)], dtype="float64")
+    same = ((dh == gh) & (dw == gw)).to_numpy()
+    out = np.zeros(len(dt))
+    out[same] = masks.ious(list(dt[same]), list(gt[same]), crowd[same].to_numpy(bool))
+    return pd.Series(out)
 
 
 def _rotated_iou(a: pd.Series, b: pd.Series, crowd: pd.Series) -> pd.Series:
@@ -99,15 +104,31 @@ def rotated_pairs(dt: DataFrame, gt: DataFrame) -> DataFrame:
     return pairs.withColumn("iou", F.pandas_udf(_rotated_iou, "double")("obb", "g", "crowd"))
 
 
-def keypoint_pairs(sigmas: list[float] | None = None) -> Pairs:
-    """Pairs by keypoint similarity, without Python: keypoints have no bound outside which it is 0, so all pairs of a group are compared."""
+def keypoint_pairs(sigmas: list[float] | None = None, least: float = 0.5) -> Pairs:
+    """Pairs by keypoint similarity that may reach ``least``, without Python.
+
+    A mean of exp(-e) is at least ``least`` only if some e is at most
+    -ln(least): then a keypoint lies near its counterpart, or near the grown
+    box where none is visible.  So the extents of both, grown by that
+    distance, touch; the join tests this and loses no such pair.
+    """
     chosen = OKS_SIGMAS if sigmas is None else sigmas
+    reach = (2 * -math.log(least)) ** 0.5 * 2 * max(chosen) if least > 0 else math.inf
 
     def pairs(dt: DataFrame, gt: DataFrame) -> DataFrame:
         zero = F.lit(0.0)
         right = _right(gt, F.col("keypoints").alias("g"), visible_keypoints(F.col("keypoints")).alias("seen"), *(F.coalesce(c, zero).alias(f"g{c}") for c in "xywh"))
+        gx, gy, gw, gh, seen = (F.col(c) for c in ("gx", "gy", "gw", "gh", "seen"))
+        shown = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.lit(len(chosen) - 1)), lambda i: F.get("g", 3 * i + 2) > 0), lambda i: F.get("g", 3 * i + k))
+        far = reach * F.sqrt(F.col("gt_area") + EPSILON) * 1.001 + 1e-6
+        span = lambda k, at, size: (F.when(seen > 0, F.array_min(shown(k))).otherwise(at - size) - far, F.when(seen > 0, F.array_max(shown(k))).otherwise(at + 2 * size) + far)
+        (x0, x1), (y0, y1) = span(0, gx, gw), span(1, gy, gh)
+        right = right.withColumns({"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1})
+        xs, ys = (every(F.slice("keypoints", 1, 3 * len(chosen)), 3, k) for k in (0, 1))
+        dt = dt.withColumns({"_dx0": F.array_min(xs), "_dx1": F.array_max(xs), "_dy0": F.array_min(ys), "_dy1": F.array_max(ys)})
+        touch = (F.col("_dx0") <= F.col("_x1")) & (F.col("_x0") <= F.col("_dx1")) & (F.col("_dy0") <= F.col("_y1")) & (F.col("_y0") <= F.col("_dy1"))
         near = oks(F.col("keypoints"), F.col("g"), tuple(F.col(f"g{c}") for c in "xywh"), F.col("gt_area"), chosen, F.col("seen"))
-        return dt.join(right, ["image_id", "category_id"]).withColumn("iou", near)
+        return dt.join(right, ["image_id", "category_id"]).where(touch).withColumn("iou", near)
 
     return pairs
 

@@ -14,7 +14,7 @@ from detlake.operators.dataset import Dataset
 IMAGE = "id bigint, file_name string, height int, width int, license bigint, coco_url string, flickr_url string, date_captured string, neg_category_ids array<bigint>, not_exhaustive_category_ids array<bigint>"
 ANNOTATION = "id bigint, image_id bigint, category_id bigint, bbox array<double>, area double, segmentation string, iscrowd string, keypoints array<double>, num_keypoints int, obb array<double>, score double, is_group_of boolean"
 CATEGORY = "id bigint, name string, supercategory string, skeleton array<array<int>>, keypoints array<string>, frequency string"
-DOCUMENT = f"images array<struct<{IMAGE.replace(' ', ':').replace(',:', ',')}>>, annotations array<struct<{ANNOTATION.replace(' ', ':').replace(',:', ',')}>>, categories array<struct<{CATEGORY.replace(' ', ':').replace(',:', ',')}>>"
+DOCUMENT = f"info string, licenses string, images array<struct<{IMAGE.replace(' ', ':').replace(',:', ',')}>>, annotations array<struct<{ANNOTATION.replace(' ', ':').replace(',:', ',')}>>, categories array<struct<{CATEGORY.replace(' ', ':').replace(',:', ',')}>>"
 
 
 def _crowd(c: Column) -> Column:
@@ -31,17 +31,19 @@ def normalised(annotations: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, image_dir: str | None = None) -> Dataset:
     """A dataset from a document; missing sections are empty, unknown keys are dropped."""
-    doc = spark.read.schema(DOCUMENT).json(path, multiLine=True)
+    return _dataset(spark.read.schema(DOCUMENT).json(path, multiLine=True), image_dir)
+
+
+def _dataset(doc: DataFrame, image_dir: str | None) -> Dataset:
     section = lambda name: doc.select(F.explode(name).alias("r")).select("r.*")
-    return Dataset(section("images"), normalised(section("annotations")), section("categories"), image_dir)
+    head = doc.select("info", "licenses").first()
+    return Dataset(section("images"), normalised(section("annotations")), section("categories"), image_dir, *(head or (None, None)))
 
 
 def from_dict(spark: SparkSession, data: dict, image_dir: str | None = None) -> Dataset:
     if not isinstance(data, dict):
         raise TypeError("a dict of images, annotations and categories is needed")
-    doc = spark.createDataFrame([(json.dumps(data),)], "j string").select(F.from_json("j", DOCUMENT).alias("d")).select("d.*")
-    section = lambda name: doc.select(F.explode(name).alias("r")).select("r.*")
-    return Dataset(section("images"), normalised(section("annotations")), section("categories"), image_dir)
+    return _dataset(spark.createDataFrame([(json.dumps(data),)], "j string").select(F.from_json("j", DOCUMENT).alias("d")).select("d.*"), image_dir)
 
 
 def empty(spark: SparkSession) -> Dataset:
@@ -106,23 +108,41 @@ def _elements(d: Dataset) -> dict[str, DataFrame]:
     return {"images": pack(d.images), "annotations": pack(anns), "categories": pack(d.categories)}
 
 
+def _head(d: Dataset) -> str:
+    """The sections info and licenses, where there are any, each with a comma behind it."""
+    return "".join(f'"{name}":{text},' for name, text in (("info", d.info), ("licenses", d.licenses)) if text)
+
+
+def write_lines(d: Dataset, path: str) -> None:
+    """A folder of JSON lines for each section, written by all tasks; ``read_lines`` reads it."""
+    for name, rows in _elements(d).items():
+        rows.select("value").write.mode("overwrite").text(f"{path}/{name}")
+
+
+def read_lines(spark: SparkSession, path: str) -> Dataset:
+    anns = spark.read.schema(ANNOTATION).json(f"{path}/annotations")
+    return Dataset(spark.read.schema(IMAGE).json(f"{path}/images"), normalised(anns), spark.read.schema(CATEGORY).json(f"{path}/categories"))
+
+
 def write(d: Dataset, path: str) -> None:
     """A folder with one JSON document.
 
-    The document is one object, so its sections are gathered; Parquet is the
-    format for datasets that one task can't hold (``write_tables``).
+    The document is one object, so its sections are gathered; a dataset that
+    one task can't hold goes to JSON lines (``write_lines``) or Parquet
+    (``write_tables``).
     """
     gathered = [df.agg(F.collect_list("value").alias(name)) for name, df in _elements(d).items()]
     row = gathered[0].crossJoin(gathered[1]).crossJoin(gathered[2])
-    text = F.concat(F.lit('{"images":['), F.array_join("images", ","), F.lit('],"annotations":['), F.array_join("annotations", ","), F.lit('],"categories":['), F.array_join("categories", ","), F.lit("]}"))
+    text = F.concat(F.lit("{" + _head(d) + '"images":['), F.array_join("images", ","), F.lit('],"annotations":['), F.array_join("annotations", ","), F.lit('],"categories":['), F.array_join("categories", ","), F.lit("]}"))
     row.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def save(d: Dataset, path: str) -> None:
     """One JSON file on the driver's disk, in order of ids; rows stream there a partition at a time."""
     with open(path, "w", encoding="utf-8") as f:
+        f.write("{" + _head(d))
         for i, (name, rows) in enumerate(_elements(d).items()):
-            f.write(("," if i else "{") + json.dumps(name) + ":[\n")
+            f.write("," * bool(i) + json.dumps(name) + ":[\n")
             for j, r in enumerate(rows.orderBy("id").toLocalIterator()):
                 f.write((",\n" if j else "") + r["value"])
             f.write("]")
