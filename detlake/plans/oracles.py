@@ -106,6 +106,20 @@ ORACLES = {
     "det_slices": f"""{_W}, {_ONE}, sl AS (SELECT 's' || id % 3 AS slice, id AS image_id FROM imgs UNION ALL SELECT '_overall', id FROM imgs), es AS (SELECT slice, ev.* FROM ev JOIN sl USING (image_id)), ns AS (SELECT slice, category_id, 0 AS a, count(*) FILTER (NOT iscrowd) AS npig FROM gt JOIN sl USING (image_id) GROUP BY ALL), {points('slice', 'x', 'es', 'ns', '(0, 100)')},
  v AS (SELECT slice, unnest(['AP', 'AP50']) AS metric, avg(ap) AS value FROM cellx GROUP BY slice) SELECT v.slice, v.metric, round(v.value, 8) AS value, round(v.value - o.value, 8) AS delta FROM v JOIN v o ON o.metric = v.metric AND o.slice = '_overall'""",
     "det_compare": f"{_W}, {_ONE}, {evaluation(1, 1, 'dt_b', 'gt', 'b')}, {_LAST}, {points('', 'b', 'evb', 'npigb', '(0, 100)')} SELECT unnest(['AP', 'AP50']) AS metric, round(x, 8) AS a, round(y, 8) AS b, round(y - x, 8) AS delta FROM (SELECT (SELECT avg(ap) FROM cell) AS x, (SELECT avg(ap) FROM cellb) AS y) q",
+    "det_bootstrap": f"""{_W}, {_ONE}, {evaluation(1, 1, 'dt_b', 'gt', 'b')},
+ im AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS number, count(*) OVER () AS n FROM ((SELECT image_id FROM gt UNION SELECT image_id FROM dt) INTERSECT (SELECT image_id FROM gt UNION SELECT image_id FROM dt_b)) q),
+ dw AS (SELECT DISTINCT b.b, ((((42 * 7919 + b.b * 104729 + im.number * 1299709 + 12345) % 2147483647 * 48271 + 11) % 2147483647) * 48271 + 11) % 2147483647 % im.n AS number FROM range(5) b(b), im),
+ sp AS (SELECT dw.b AS boot, im.image_id FROM dw JOIN im USING (number) UNION ALL SELECT -1, image_id FROM im),
+ e1 AS (SELECT boot, ev.* FROM ev JOIN sp USING (image_id)), e2 AS (SELECT boot, evb.* FROM evb JOIN sp USING (image_id)), nb AS (SELECT boot, category_id, 0 AS a, count(*) FILTER (NOT iscrowd) AS npig FROM gt JOIN sp USING (image_id) GROUP BY ALL),
+ {points('boot', 'x', 'e1', 'nb', '(0, 100)')}, {points('boot', 'y', 'e2', 'nb', '(0, 100)')},
+ ap AS (SELECT boot, x.ap AS a, y.ap AS b, y.ap - x.ap AS delta FROM (SELECT boot, avg(ap) AS ap FROM cellx GROUP BY boot) x JOIN (SELECT boot, avg(ap) AS ap FROM celly GROUP BY boot) y USING (boot))
+ SELECT 'AP' AS metric, round(p.a, 8) AS a, round(p.b, 8) AS b, round(p.delta, 8) AS delta, round(min(s.delta), 8) AS lower, round(max(s.delta), 8) AS upper, round(avg((s.delta > 0)::INT), 8) AS prob_positive, round(stddev_samp(s.delta), 8) AS std_err
+ FROM ap p JOIN ap s ON p.boot = -1 AND s.boot >= 0 GROUP BY p.a, p.b, p.delta""",
+    "snk_yolo": f"""{_W} SELECT 'im' || i.id AS stem, coalesce(string_agg(printf('%d %.6f %.6f %.6f %.6f', category_id - 1, (x + w / 2) / 680, (y + h / 2) / 500, w / 680, h / 500), chr(10) ORDER BY gt.id) FILTER (NOT iscrowd), '') AS text FROM imgs i LEFT JOIN gt ON gt.image_id = i.id GROUP BY i.id""",
+    "snk_voc": f"""{_W} SELECT 'im' || i.id AS stem, '<annotation><filename>im' || i.id || '.jpg</filename><size><width>680</width><height>500</height><depth>3</depth></size>' || coalesce(string_agg(printf('<object><name>cat%d</name><difficult>%d</difficult><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object>', category_id, iscrowd::INT, x::BIGINT, y::BIGINT, (x + w)::BIGINT, (y + h)::BIGINT), '' ORDER BY gt.id), '') || '</annotation>' AS text FROM imgs i LEFT JOIN gt ON gt.image_id = i.id GROUP BY i.id""",
+    "snk_cvat": f"""{_W} SELECT i.id AS image_id, '<image id="' || i.id || '" name="im' || i.id || '.jpg" width="680" height="500">' || coalesce(string_agg(printf('<box label="cat%d" xtl="%.2f" ytl="%.2f" xbr="%.2f" ybr="%.2f" occluded="0"/>', category_id, x, y, x + w, y + h), '' ORDER BY gt.id), '') || '</image>' AS text FROM imgs i LEFT JOIN gt ON gt.image_id = i.id GROUP BY i.id""",
+    "src_yolo": f"""{_W} SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY id) - 1)::INTEGER AS line, category_id, x, y, w, h FROM gt WHERE NOT iscrowd""",
+    "src_json": f"""{_W} SELECT id, image_id, category_id, x, y, w, h, area, iscrowd::INTEGER AS iscrowd FROM gt""",
     "det_federated": f"""{_W}, dk AS (SELECT * FROM dt WHERE (image_id, category_id) IN (SELECT image_id, category_id FROM gt UNION ALL SELECT id, 1 + id % 4 FROM imgs)), {evaluation(1, 1, 'dk')}, eo AS (SELECT * REPLACE (ignored OR (NOT matched AND category_id = 1 + (image_id + 1) % 4) AS ignored) FROM ev), {points('', 'x', 'eo', 'npig', '(0, 100)')} SELECT category_id, round(avg(ap), 8) AS ap FROM cellx GROUP BY category_id""",
     "det_open_images": f"""{_W}, gp AS (SELECT * REPLACE (false AS iscrowd) FROM gt WHERE id % 31 <> 0), gg AS (SELECT * FROM gt WHERE id % 31 = 0), {evaluation(1, 1, 'dt', 'gp')}, gm AS (SELECT DISTINCT d.image_id, d.category_id, d.rank FROM dtr d JOIN gg g ON d.image_id = g.image_id AND d.category_id = g.category_id WHERE {_iou()} >= 0.5)
  SELECT ev.category_id, count(*) FILTER (matched OR gm.rank IS NOT NULL) AS n_matched, count(*) AS n, any_value(npig) AS npig FROM ev LEFT JOIN gm ON gm.image_id = ev.image_id AND gm.category_id = ev.category_id AND gm.rank = ev.rank JOIN npig ON npig.category_id = ev.category_id GROUP BY ev.category_id""",

@@ -13,6 +13,7 @@ from detlake.operators.hierarchy import Hierarchy, expand
 from detlake.operators.matching import evaluate, total
 from detlake.operators.params import Params
 from detlake.scene import scene
+from detlake.sources import coco_json, formats
 
 P = Params()
 #: For queries whose SQL counterpart is costly: all categories and images, one threshold and area.
@@ -253,6 +254,39 @@ def det_image_view(spark, sf_dir):
     return got.select("image_id", "position", "source", "id", "category", F.coalesce("score", F.lit(-1.0)).alias("score"), F.coalesce("status", F.lit("none")).alias("status"), F.coalesce("matched_id", F.lit(-1)).alias("matched_id"))
 
 
+def _named(spark, sf_dir) -> Dataset:
+    d, _ = dataset(spark, sf_dir)
+    return Dataset(d.images.withColumn("file_name", F.concat(F.lit("im"), F.col("id").cast("string"), F.lit(".jpg"))), d.annotations, d.categories)
+
+
+def snk_yolo(spark, sf_dir):
+    return formats.yolo_rows(_named(spark, sf_dir))
+
+
+def snk_voc(spark, sf_dir):
+    return formats.voc_rows(_named(spark, sf_dir))
+
+
+def snk_cvat(spark, sf_dir):
+    return formats.cvat_rows(_named(spark, sf_dir))
+
+
+def src_yolo(spark, sf_dir):
+    """Label files written and read again: boxes to a hundredth of a pixel, crowds left out."""
+    d = _named(spark, sf_dir)
+    files = formats.yolo_rows(d)
+    lines = files.select("stem", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    got = formats.yolo_boxes(lines, d.images.withColumn("stem", F.regexp_extract("file_name", "([^.]*)", 1)), 4)
+    return got.select("image_id", "line", "category_id", *((F.round(c, 2) + 0.0).alias(c) for c in "xywh"))
+
+
+def src_json(spark, sf_dir):
+    """Annotations written as JSON and read again."""
+    text = coco_json.elements(dataset(spark, sf_dir)[0])["annotations"]
+    rows = coco_json.normalised(text.select(F.from_json("value", coco_json.ANNOTATION).alias("r")).select("r.*"))
+    return rows.select("id", "image_id", "category_id", *"xywh", "area", F.col("iscrowd").cast("int").alias("iscrowd"))
+
+
 def ds_stats(spark, sf_dir):
     d, _ = dataset(spark, sf_dir)
     return _rounded(d.stats(), "value")
@@ -311,5 +345,5 @@ def ds_near_duplicates(spark, sf_dir):
     return near_duplicates(dataset(spark, sf_dir)[0].annotations, thr=0.85)
 
 
-_ALL = [det_summary, det_pooled_summary, det_per_category, det_pr_samples, det_f_scores, det_matches, det_pairs, det_confusion, det_calibration, det_calibration_errors, det_error_types, det_image_diagnostics, det_label_errors, det_slices, det_compare, det_bootstrap, det_federated, det_open_images, det_hierarchy, det_masks, det_keypoints, det_rotated, det_frequency, det_headlines, det_named_aps, det_f1_histogram, det_f1_buckets, det_worst_images, det_error_classes, det_mean_curve, det_top_confusions, det_rolled_confusion, det_report_counts, det_gallery, det_image_view, ds_stats, ds_category_stats, ds_tree, ds_ann_ids, ds_filter, ds_split, ds_sample, ds_merge, ds_health, ds_health_summary, ds_detection_health, ds_near_duplicates]
+_ALL = [det_summary, det_pooled_summary, det_per_category, det_pr_samples, det_f_scores, det_matches, det_pairs, det_confusion, det_calibration, det_calibration_errors, det_error_types, det_image_diagnostics, det_label_errors, det_slices, det_compare, det_bootstrap, det_federated, det_open_images, det_hierarchy, det_masks, det_keypoints, det_rotated, det_frequency, det_headlines, det_named_aps, det_f1_histogram, det_f1_buckets, det_worst_images, det_error_classes, det_mean_curve, det_top_confusions, det_rolled_confusion, det_report_counts, det_gallery, det_image_view, snk_yolo, snk_voc, snk_cvat, src_yolo, src_json, ds_stats, ds_category_stats, ds_tree, ds_ann_ids, ds_filter, ds_split, ds_sample, ds_merge, ds_health, ds_health_summary, ds_detection_health, ds_near_duplicates]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -98,7 +98,7 @@ def warn_unknown(dt: DataFrame, d: Dataset) -> None:
             warnings.warn(f"detections name ids that {table} lacks", stacklevel=2)
 
 
-def _elements(d: Dataset) -> dict[str, DataFrame]:
+def elements(d: Dataset) -> dict[str, DataFrame]:
     """JSON text of every row by section; segmentations as JSON, absent options as null."""
     anns = d.annotations
     box = F.when(F.col("x").isNotNull(), F.array(*"xywh")).alias("bbox")
@@ -115,7 +115,7 @@ def _head(d: Dataset) -> str:
 
 def write_lines(d: Dataset, path: str) -> None:
     """A folder of JSON lines for each section, written by all tasks; ``read_lines`` reads it."""
-    for name, rows in _elements(d).items():
+    for name, rows in elements(d).items():
         rows.select("value").write.mode("overwrite").text(f"{path}/{name}")
 
 
@@ -131,7 +131,7 @@ def write(d: Dataset, path: str) -> None:
     one task can't hold goes to JSON lines (``write_lines``) or Parquet
     (``write_tables``).
     """
-    gathered = [df.agg(F.collect_list("value").alias(name)) for name, df in _elements(d).items()]
+    gathered = [df.agg(F.collect_list("value").alias(name)) for name, df in elements(d).items()]
     row = gathered[0].crossJoin(gathered[1]).crossJoin(gathered[2])
     text = F.concat(F.lit("{" + _head(d) + '"images":['), F.array_join("images", ","), F.lit('],"annotations":['), F.array_join("annotations", ","), F.lit('],"categories":['), F.array_join("categories", ","), F.lit("]}"))
     row.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
@@ -141,7 +141,7 @@ def save(d: Dataset, path: str) -> None:
     """One JSON file on the driver's disk, in order of ids; rows stream there a partition at a time."""
     with open(path, "w", encoding="utf-8") as f:
         f.write("{" + _head(d))
-        for i, (name, rows) in enumerate(_elements(d).items()):
+        for i, (name, rows) in enumerate(elements(d).items()):
             f.write("," * bool(i) + json.dumps(name) + ":[\n")
             for j, r in enumerate(rows.orderBy("id").toLocalIterator()):
                 f.write((",\n" if j else "") + r["value"])

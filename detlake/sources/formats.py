@@ -93,13 +93,17 @@ def read_yolo(spark: SparkSession, path: str, dims: DataFrame | None = None) ->
     else:
         images = images.withColumn("width", F.lit(0)).withColumn("height", F.lit(0))
     images = images.select("id", "stem", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"), F.concat("stem", F.lit(".jpg")).alias("file_name"))
+    return Dataset(images.drop("stem"), _numbered(yolo_boxes(lines, images, len(names))), cats)
+
+
+def yolo_boxes(lines: DataFrame, images: DataFrame, n_classes: int) -> DataFrame:
+    """image_id, line, category_id, box, area and iscrowd of label lines (file_name, stem, line, text); images have id, stem, width, height."""
     parts = F.split(F.trim("text"), r"\s+")
-    ok = (F.size(parts) == 5) & (parts[0].try_cast("int").between(0, len(names) - 1))
-    rows = lines.where(F.trim("text") != "").withColumn("p", F.when(ok, parts).otherwise(F.raise_error(F.concat(F.lit("bad line in "), "file_name", F.lit(": "), "text")))).join(images, "stem")
+    ok = (F.size(parts) == 5) & (parts[0].try_cast("int").between(0, n_classes - 1))
+    rows = lines.where(F.trim("text") != "").withColumn("p", F.when(ok, parts).otherwise(F.raise_error(F.concat(F.lit("bad line in "), "stem", F.lit(": "), "text")))).join(images.select("id", "stem", "width", "height"), "stem")
     n = [F.col("p")[i].cast("double") for i in range(5)]
     w, h = n[3] * F.col("width"), n[4] * F.col("height")
-    rows = rows.select(F.col("id").alias("image_id"), "line", (n[0].cast("bigint") + 1).alias("category_id"), (n[1] * F.col("width") - w / 2).alias("x"), (n[2] * F.col("height") - h / 2).alias("y"), w.alias("w"), h.alias("h"), (w * h).alias("area"), F.lit(False).alias("iscrowd"))
-    return Dataset(images.drop("stem"), _numbered(rows), cats)
+    return rows.select(F.col("id").alias("image_id"), "line", (n[0].cast("bigint") + 1).alias("category_id"), (n[1] * F.col("width") - w / 2).alias("x"), (n[2] * F.col("height") - h / 2).alias("y"), w.alias("w"), h.alias("h"), (w * h).alias("area"), F.lit(False).alias("iscrowd"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
