@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from detlake.llm.frames import by_batch, documents
 from detlake.llm.tokens import SPLIT, Memory
 
-#: Token pairs whose verdict a worker remembers, and the longest piece whose entries are found on demand.
-PAIRS, SHORT = 300_000, 64
+#: Pieces (in each of two generations) and token pairs whose result a worker remembers, and the longest piece whose entries are found on demand.
+PIECES, PAIRS, SHORT = 80_000, 200_000, 64
 
 
 class Vocabulary:
@@ -39,7 +39,7 @@ class Vocabulary:
             self.ends.add_word(text.decode("latin-1"), (token, len(text)))
         self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.pieces = Memory(self._piece, 210_000)
+        self.pieces = Memory(self._piece, PIECES)
 
     def _last_merge(self, text: bytes, own: int) -> tuple[int, int] | None | bool:
         """The last merge of a token; None for a byte, False if merging its bytes never makes it."""

@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1
 #: Keys with at least one in so many of all rows are joined by broadcast; there are at most as many.
 HEAVY = 1_000
+#: Bytes of an Arrow batch, which a task holds several times, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session hand texts to Python in batches of at most BATCH_BYTES instead of 64 MB; narrow rows aren't affected."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def documents(docs: DataFrame, *extra: str) -> DataFrame:

@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from detlake.llm import bpe, decontaminate, fingerprint, language, minhash, secrets, suffixes, tokens, toxicity, windows
+from detlake.llm.frames import small_batches
 from detlake.llm.sql import OP1, OP2, OP7, OP9
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
