@@ -157,19 +157,19 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -
     group = F.sum(F.when(before > F.col("start"), 0).otherwise(1)).over(w)
     merged = spans.withColumn("_before", before).withColumn("_group", group).groupBy("doc_id", "h", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("example").alias("example"))
     marks = merged.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "example"))).alias("_marks")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_marks")
-    key = [F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == F.col("_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_h")]
+    key = [F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == marks["_id"], F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == marks["_h"]]
     out = docs.join(marks, key[0] & key[1], "left")
-    ends = F.concat(F.array(F.lit(0)), F.transform("_marks", lambda m: m["end"].cast("int")))
-    starts = F.concat(F.transform("_marks", lambda m: m["start"].cast("int")), F.array(F.length(docs["text"])))
-    words = F.concat(F.transform("_marks", lambda m: F.when(m["example"], "<example>").otherwise("<secret>")), F.array(F.lit("")))
-    parts = F.transform(F.sequence(F.lit(1), F.size("_marks") + 1), lambda i: F.concat(F.substring(docs["text"], F.element_at(ends, i) + 1, F.element_at(starts, i) - F.element_at(ends, i)), F.element_at(words, i)))
-    text = F.when(F.col("_marks").isNull(), docs["text"]).otherwise(F.array_join(parts, ""))
+    ends = F.concat(F.array(F.lit(0)), F.transform(marks["_marks"], lambda m: m["end"].cast("int")))
+    starts = F.concat(F.transform(marks["_marks"], lambda m: m["start"].cast("int")), F.array(F.length(docs["text"])))
+    words = F.concat(F.transform(marks["_marks"], lambda m: F.when(m["example"], "<example>").otherwise("<secret>")), F.array(F.lit("")))
+    parts = F.transform(F.sequence(F.lit(1), F.size(marks["_marks"]) + 1), lambda i: F.concat(F.substring(docs["text"], F.element_at(ends, i) + 1, F.element_at(starts, i) - F.element_at(ends, i)), F.element_at(words, i)))
+    text = F.when(marks["_marks"].isNull(), docs["text"]).otherwise(F.array_join(parts, ""))
     columns = []
     for c in docs.columns:
         if c == "text":
             columns.append(text.alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("_marks").isNull(), docs[c]).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(marks["_marks"].isNull(), docs[c]).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(docs[c])
     return out.select(*columns)
