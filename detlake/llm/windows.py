@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import accumulate, groupby, tee
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from detlake.llm.flat import Words, gather, rolling, runs, sliding_min, words_of
@@ -18,6 +18,8 @@ from detlake.llm.frames import NO_ID, documents, partitions, sized, texts
 WINDOW, MINIMISER = 13, 3
 #: Text cut up at once, and words of a bucket sorted at once.
 CUT_BYTES, SORT_WORDS = 4 << 20, 2_000_000
+#: Packed strings that a task takes of one bucket; the windows of a larger one are counted by their digests over all tasks.
+BUCKET_BYTES = 512 << 20
 #: Columns of a packet's heads: minimiser (its low bits), document, text hash, first window, windows, bytes carried (-1: none).
 _HEADS = {"key": "<u4", "doc": "<i8", "h": "<i8", "start": "<i4", "windows": "<i4", "bytes": "<i4"}
 
@@ -94,9 +96,7 @@ def _repeats(blobs: list[bytes], part: int, parts: int) -> Iterator[np.ndarray]:
     packets = [_unpack(x) for x in blobs]
     heads = {c: np.concatenate([h[c] for h, _ in packets]) for c in _HEADS}
     if part == 0:
-        away = heads["bytes"] < 0
-        n = heads["windows"][away]
-        yield _rows(np.repeat(heads["doc"][away], n), np.repeat(heads["h"][away], n), np.repeat(heads["start"][away], n) + _count(n))
+        yield _away(heads)
     # A minimiser that only one document has can't share a window.
     order = np.lexsort((heads["doc"], heads["key"]))
     first = runs([heads["key"][order]])
@@ -141,6 +141,27 @@ def _repeats(blobs: list[bytes], part: int, parts: int) -> Iterator[np.ndarray]:
     yield _rows(doc[out], heads["h"][r], heads["start"][r] + at[out] - words.first[r])
 
 
+def _away(heads: dict[str, np.ndarray]) -> np.ndarray:
+    """Windows whose strings didn't travel, since a smaller document of the same batch has them."""
+    away = heads["bytes"] < 0
+    n = heads["windows"][away]
+    return _rows(np.repeat(heads["doc"][away], n), np.repeat(heads["h"][away], n), np.repeat(heads["start"][away], n) + _count(n))
+
+
+def _digests(blob: bytes) -> pa.RecordBatch:
+    """A 128-bit digest of every window that travels in a packet, with its document and place."""
+    heads, body = _unpack(blob)
+    heads = {c: x[heads["bytes"] >= 0] for c, x in heads.items()}
+    cut = np.append(0, np.cumsum(heads["bytes"].astype(np.int64))).tolist()
+    out = []
+    for i, n in enumerate(heads["windows"].tolist()):
+        words = body[cut[i] : cut[i + 1]].split(b" ")
+        out += [hashlib.blake2b(b" ".join(words[j : j + WINDOW]), digest_size=16).digest() for j in range(n)]
+    n = heads["windows"]
+    at = np.repeat(heads["start"], n) + _count(n)
+    return pa.record_batch([pa.array(out, pa.binary()), pa.array(np.repeat(heads["doc"], n)), pa.array(np.repeat(heads["h"], n)), pa.array(at.astype(np.int64))], names=["digest", "doc_id", "h", "at"])
+
+
 def _count(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... within each size."""
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -162,21 +183,48 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             got = list(_pack(batch.column("doc_id").to_numpy(), batch.column("h").to_numpy(), texts(batch), buckets))
             yield pa.record_batch([pa.array([b for b, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["bucket", "packet"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[bytes, int]]]:
+        """The packets of each bucket, one by one, with the bytes of this and all before it."""
         rows = ((b, x) for batch in batches for b, x in zip(batch.column("bucket").to_pylist(), batch.column("packet").to_pylist()))
         for _, group in groupby(rows, lambda r: r[0]):
-            blobs = [x for _, x in group]
-            # A large bucket is sorted part by part, by the windows' hashes; its packets stay compressed meanwhile.
-            size = sum(zstandard.get_frame_parameters(x).content_size for x in blobs)
-            for part in range(parts := 1 + size // (6 * SORT_WORDS)):
-                for found in _repeats(blobs, part, parts):
-                    found.sort()
-                    head = np.flatnonzero(np.concatenate([[True], (np.diff(found["at"]) != 1) | (found["doc"][1:] != found["doc"][:-1]) | (found["h"][1:] != found["h"][:-1])])) if len(found) else np.zeros(0, np.int64)
-                    yield pa.record_batch([pa.array(found["doc"][head]), pa.array(found["h"][head]), pa.array(found["at"][head]), pa.array(np.diff(np.append(head, len(found))))], names=["doc_id", "h", "at", "windows"])
+            blobs, sizes = tee(x for _, x in group)
+            yield zip(blobs, accumulate(zstandard.get_frame_parameters(x).content_size for x in sizes))
+
+    def joined(found: np.ndarray) -> pa.RecordBatch:
+        found.sort()
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(found["at"]) != 1) | (found["doc"][1:] != found["doc"][:-1]) | (found["h"][1:] != found["h"][:-1])])) if len(found) else np.zeros(0, np.int64)
+        return pa.record_batch([pa.array(found["doc"][head]), pa.array(found["h"][head]), pa.array(found["at"][head]), pa.array(np.diff(np.append(head, len(found))))], names=["doc_id", "h", "at", "windows"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packets in buckets_of(batches):
+            held, size = [], 0
+            for blob, size in packets:
+                held.append(blob)
+                if size > most:  # only what the packets themselves tell; ``spill`` does the rest
+                    yield from (joined(_away(_unpack(x)[0])) for x in held)
+                    held = []
+            if size <= most:
+                # A large bucket is sorted part by part, by the windows' hashes; its packets stay compressed meanwhile.
+                for part in range(parts := 1 + size // (6 * SORT_WORDS)):
+                    yield from map(joined, _repeats(held, part, parts))
+
+    def spill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packets in buckets_of(batches):
+            held = []
+            for blob, size in packets:
+                held.append(blob)
+                if size > most:
+                    yield from map(_digests, held)
+                    held = []
+
+    most = BUCKET_BYTES
     packets = docs.select("doc_id", "h", "text").mapInArrow(cut, "bucket int, packet binary")
-    dealt = packets.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "doc_id bigint, h bigint, at bigint, windows bigint")
+    dealt = packets.repartition(n, "bucket").sortWithinPartitions("bucket")  # shuffled once, read by both
+    found = dealt.mapInArrow(count, "doc_id bigint, h bigint, at bigint, windows bigint")
+    rest = dealt.mapInArrow(spill, "digest binary, doc_id bigint, h bigint, at bigint")
+    lead = F.min("doc_id").over(Window.partitionBy("digest"))
+    again = rest.withColumn("lead", lead).where("doc_id > lead").select("doc_id", "h", "at", F.lit(1).cast("bigint").alias("windows"))
+    return found.unionByName(again)
 
 
 def covered(n_words: int, at: list[int], windows: list[int], width: int) -> np.ndarray:
