@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from detlake.llm.frames import by_batch, documents
+from detlake.llm.frames import by_batch, documents, model
 from detlake.llm.tokens import SPLIT, Memory
 
 #: Pieces (in each of two generations) and token pairs whose result a worker remembers, and the longest piece whose entries are found on demand.
@@ -196,14 +196,9 @@ class Prefixes:
         return out[::-1]
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """One vocabulary for each worker and file."""
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
+    return model(("ranks", path), lambda: Vocabulary(path))
 
 
 def encode_documents(docs: DataFrame, ranks: str, keep_ids: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from detlake.llm.flat import Words, mix, rolling, words_of
-from detlake.llm.frames import documents, sized, texts
+from detlake.llm.frames import documents, forget, sized, texts
 
 #: Edits in words that still make a window a copy of an item, as a share of the item's words; shorter items are found verbatim.
 MOST_EDITS, LEAST_WORDS = 0.2, 8
@@ -258,6 +258,7 @@ def _looked_up(shipped) -> Callable[[], Items]:
 
     def items() -> Items:
         if "items" not in made:
+            forget()
             made["items"] = Items(*shipped.value)
         return made["items"]
 

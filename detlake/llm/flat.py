@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text hashed at once; bounds the 8-byte arrays over single bytes.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,12 +18,43 @@ NO_ID = (1 << 63) - 1
 #: Keys with at least one in so many of all rows are joined by broadcast; there are at most as many.
 HEAVY = 1_000
 #: Bytes of an Arrow batch, which a task holds several times, in the JVM and in Python.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+
+
+_model: dict = {}
+
+
+def model(key, make: Callable):
+    """What ``make`` gives, kept by this Python worker until it needs a model under another key: workers outlive stages."""
+    if key not in _model:
+        forget()
+        _model[key] = make()
+    return _model[key]
+
+
+def release() -> None:
+    """Gives back to the system what earlier tasks of this worker have freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def forget() -> None:
+    """Drops the model that an earlier stage has left in this worker, and freed memory."""
+    _model.clear()
+    release()
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets the session hand texts to Python in batches of at most BATCH_BYTES instead of 64 MB; narrow rows aren't affected."""
+    """Settings of the session that bound memory and disk.
+
+    Texts are handed to Python in batches of at most BATCH_BYTES instead of
+    64 MB; narrow rows aren't affected.  Shuffle files go as soon as a query
+    has ended: what is read again is written to a table.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
 
 
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
@@ -120,6 +152,7 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch], size: int = 8 << 20)
     """f over size-bounded batches, as mapInArrow wants it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in sized(batches, size):
             yield f(batch)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from detlake.llm.frames import documents, held_out, sized
+from detlake.llm.frames import documents, held_out, model, sized
 
 #: Bound of the labelled sample: documents of a language, and characters of one, which is taken whole or not at all.
 TRAIN_DOCS, TRAIN_DOC_CHARS = 24, 10_000
@@ -212,9 +212,6 @@ def training_text(docs: DataFrame) -> dict[str, str]:
     return out
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def identify(docs: DataFrame, training: dict[str, str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of each row's whole text.
 
@@ -228,11 +225,9 @@ def identify(docs: DataFrame, training: dict[str, str] | None = None) -> DataFra
     key = hash(tuple(sorted(training.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _parsers:  # the text is small; each worker makes the table from it once
-            _parsers.clear()
-            _parsers[key] = CrossParser(training)
+        parser = model(("parser", key), lambda: CrossParser(training))  # the text is small; each worker makes the tables from it once
         for batch in sized(batches, 1 << 20):
-            found = _parsers[key].predict(batch.column("text").to_pylist())
+            found = parser.predict(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = documents(docs).withColumn("held_out", held_out(F.col("doc_id")))

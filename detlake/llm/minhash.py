@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from detlake.llm.components import components
 from detlake.llm.flat import mix, rolling, words_of
-from detlake.llm.frames import NO_ID, documents, join_spread, partitions, sized, texts, written
+from detlake.llm.frames import NO_ID, documents, forget, join_spread, partitions, sized, texts, written
 
 #: Bands and hashes in each: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
@@ -74,6 +74,7 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, text hash, size and 128-bit digest of the shingle set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in sized(batches, CUT_BYTES):
             values, offset = shingle_sets(texts(batch), shingle)
             full = np.flatnonzero(np.diff(offset))
@@ -98,6 +99,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in sized(batches, CUT_BYTES):
             values, offset = shingle_sets(texts(batch), shingle)
             sig = signatures(values, offset)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from detlake.llm.frames import by_batch, documents
+from detlake.llm.frames import by_batch, documents, model
 
 #: How byte-level vocabularies split a text before merging: the published pattern, with \s as Unicode white space,
 #: which is what it stands for in the libraries' own engines.
@@ -61,6 +61,9 @@ class HeapCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        unhandled = self.unhandled(spec)
+        if unhandled:
+            raise ValueError(f"a vocabulary with {', '.join(unhandled)} isn't handled")
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.symbol = byte_symbols()
@@ -69,6 +72,16 @@ class HeapCounter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.memory = Memory(self.piece)
 
+    @staticmethod
+    def unhandled(spec: dict) -> list[str]:
+        """Settings of a vocabulary file that would change counts in a way this counter doesn't know."""
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        out = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback") if model.get(k)]
+        out += ["normalizer"] * bool(spec.get("normalizer"))
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            out.append("pre_tokenizer")
+        return out + [k for k in ("lstrip", "rstrip", "single_word") if any(t.get(k) for t in spec.get("added_tokens", ()))]
+
     def piece(self, piece: str) -> int:
         value = [self.symbol[b] for b in piece.encode("utf-8", "surrogatepass")]
         n = len(value)
@@ -106,14 +119,9 @@ class HeapCounter:
         return sum(map(self.plain, self.special.split(text))) + len(self.special.findall(text))
 
 
-_counters: dict[str, HeapCounter] = {}
-
-
 def counter(path: str) -> HeapCounter:
     """One counter for each worker and vocabulary."""
-    if path not in _counters:
-        _counters[path] = HeapCounter(path)
-    return _counters[path]
+    return model(("merges", path), lambda: HeapCounter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:

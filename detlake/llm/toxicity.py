@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from detlake.llm.frames import by_batch, documents, held_out
+from detlake.llm.frames import by_batch, documents, forget, held_out
 
 #: Lengths of the n-grams, and bits of their hashed index.
 ORDERS, BITS = (4, 5, 6), 20
@@ -234,6 +234,7 @@ def _scored(rows: DataFrame, model: Classifier, threshold: float) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "model" not in cache:
+            forget()
             index, values, bias = shipped.value
             weight = np.zeros(1 << BITS, np.float32)
             weight[index] = values
