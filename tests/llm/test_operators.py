@@ -81,6 +81,31 @@ def test_bpe_matches_the_library_and_comes_back(docs, nothing):
             assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_tokens_of_random_code_points_match_the_libraries():
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    ranks, merges = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
+    with open(ranks, "rb") as f:
+        library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    other, v, counter, rnd = Tokenizer.from_file(merges), bpe.vocabulary(ranks), tokens.HeapCounter(merges), random.Random(21)
+    pools = [lambda: chr(rnd.randrange(0x80)), lambda: chr(rnd.choice([rnd.randrange(0xD800), rnd.randrange(0xE000, 0x110000)])), lambda: rnd.choice("the of'sll \n\x1c\u0085\u00a0\u3000\u200b09"), lambda: rnd.choice("abcdefghij")]
+    for i in range(400):
+        text = "".join(pools[i % 4]() for _ in range(rnd.randrange(0, 300)))
+        ids = library.encode_ordinary(text)
+        assert v.encode(text) == ids and v.decode(ids) == text.encode()
+        assert counter.count(text) == len(other.encode(text, add_special_tokens=False).ids)
+
+
+def test_vocabularies_that_are_not_handled_are_refused():
+    spec = {"model": {"end_of_word_suffix": "</w>"}, "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "ByteLevel", "use_regex": True}, "added_tokens": [{"lstrip": True}]}
+    assert tokens.HeapCounter.unhandled(spec) == ["end_of_word_suffix", "normalizer", "lstrip"]
+    with pytest.raises(ValueError):
+        tokens.HeapCounter(P.path("word_bpe_49k.json"))
+
+
 def test_prefixes_append_and_replace_as_if_encoded_anew():
     v, rnd = bpe.vocabulary(P.path("byte_bpe_50k.tiktoken")), random.Random(3)
     for _ in range(300):
@@ -146,6 +171,9 @@ def test_repeated_windows_are_those_of_brute_force(docs, nothing, monkeypatch):
                 i = (1 << 60) if r["doc_id"] is None else r["doc_id"]
                 kept = " ".join(w for j, w in enumerate(lists[i]) if j not in gone[i])
                 assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(lists[i]), len(gone[i]), hashlib.sha256(kept.encode()).hexdigest()), i
+            for most in (0, 2_000):  # larger buckets go by the windows' digests
+                monkeypatch.setattr(windows, "BUCKET_BYTES", most)
+                assert sorted(map(str, rows_of(windows.remove_repeats(docs)))) == sorted(map(str, got))
         else:
             got = {(1 << 60) if r["doc_id"] is None else r["doc_id"]: r for r in rows_of(suffixes.repeated_passages(docs))}
             assert set(got) == {i for i in lists if again[i]} and suffixes.repeated_passages(nothing).count() == 0
@@ -395,6 +423,63 @@ def test_sketches_merge_and_estimate():
     assert abs(merged.distinct() / both.distinct() - 1) < 0.05 and one.resemblance(one) == 1 and one.containment(both) > 0.7
 
 
+def test_small_sketches_are_exact():
+    rnd = random.Random(14)
+    for _ in range(200):
+        words = [rnd.choice("abc") for _ in range(rnd.randrange(0, 60))]
+        a, b = words[: rnd.randrange(0, 60)], words[rnd.randrange(0, 30) :]
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in (a, b)]
+        one, two = (fingerprint.BottomK.of(" ".join(w)) for w in (a, b))
+        both = sets[0] | sets[1]
+        assert one.distinct() == len(sets[0]) and one.merge(two).distinct() == len(both) < 64
+        assert one.resemblance(two) == (len(sets[0] & sets[1]) / len(both) if both else 1.0)
+        assert one.containment(two) == pytest.approx(len(sets[0] & sets[1]) / len(sets[0]) if sets[0] else 1.0)
+
+
+def test_sketches_estimate_large_sets():
+    rnd, off = random.Random(15), []
+    for _ in range(40):
+        words = [str(rnd.randrange(10**6)) for _ in range(1500)]
+        cut = rnd.randrange(100, 1400)
+        one, two = fingerprint.BottomK.of(" ".join(words)), fingerprint.BottomK.of(" ".join(words[:cut]))
+        off.append(abs(one.resemblance(two) - (cut - 4) / 1496))
+        assert abs(one.distinct() / 1496 - 1) < 0.5
+    assert sum(off) / len(off) < 0.06
+
+
+@pytest.mark.parametrize("name", ["op1_suffix_array_dedup", "op2_secret_scan", "op7_minhash_dedup", "op9_substring_dedup"])
+def test_queries_agree_with_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from detlake.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(repr, map(tuple, QUERIES[name](spark, folder).select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path, docs, nothing):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "no such passage in here at all today")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in TEXTS], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = docs.withColumns({"row": F.lit(1), "_id": F.lit("x"), "predicted": F.lit(2), "root": F.lit(3)})
+    all_rows = more.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, str(tmp_path))
+        assert got.columns == more.columns, name
+        ids = [r["doc_id"] for r in got.select("doc_id").collect()]
+        assert None in ids and {1, 2, 3, 13} <= set(ids) and (len(ids) == all_rows) == (name != "near_duplicates"), name
+        empty = stage(spark, nothing, str(tmp_path))
+        assert empty.count() == 0 and empty.columns == nothing.columns, name
+    last = corpus_pipeline.STAGES[-1][1](spark, more, str(tmp_path))
+    assert last.count() == all_rows and corpus_pipeline.STAGES[-1][1](spark, nothing, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
