@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from detlake.llm.flat import Words, gather, rolling, runs, sliding_min, words_of
-from detlake.llm.frames import NO_ID, by_batch, documents, join_spread, partitions, texts, written
+from detlake.llm.frames import NO_ID, by_batch, documents, forget, join_spread, partitions, texts, written
 from detlake.llm.windows import covered
 
 #: Words of the least passage, of a minimiser, and runs of words in a minimiser window.
@@ -22,7 +22,7 @@ RIGHT = PASSAGE - SPREAD + 1
 #: Suffixes under one head that a task sorts and compares; windows of more are dealt over all tasks by their digests.
 COMPARED = 20_000
 #: Text looked at, and bytes of suffixes compared, at once.
-CUT_BYTES, COMPARED_BYTES = 1 << 20, 4 << 20
+CUT_BYTES, COMPARED_BYTES = 1 << 20, 2 << 20
 
 
 def retained(words: Words) -> np.ndarray:
@@ -176,11 +176,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     heads = written(suffix_heads(docs))
-    several = written(heads.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
+    several = written(heads.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n", (F.col("n") > COMPARED).alias("crowded")))
+    at = lambda crowded: F.collect_set(F.when(F.col("crowded") == crowded, F.col("at")))
+    ats = join_spread(heads, several, ["key"]).groupBy("doc_id", "h").agg(at(False).alias("sorted"), at(True).alias("counted"))
+    both = docs.select("doc_id", "h", "text").join(ats, ["doc_id", "h"])  # texts are shuffled once for both ways
 
-    def chosen(keys: DataFrame) -> DataFrame:
-        ats = join_spread(heads, keys, ["key"]).groupBy("doc_id", "h").agg(F.collect_set("at").alias("ats"))
-        return docs.join(ats, ["doc_id", "h"]).select("doc_id", "h", "text", "ats")
+    def chosen(which: str) -> DataFrame:
+        return both.where(F.size(which) > 0).select("doc_id", "h", "text", F.col(which).alias("ats"))
 
     def spans(columns: list[pa.Array]) -> pa.RecordBatch:
         suffix, before, *numbers = columns
@@ -191,6 +193,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         return pa.record_batch([pa.array(doc[row]), pa.array(h[row]), pa.array(start), pa.array(size), pa.array(np.repeat([False, True], [len(p[0]) for p in parts]))], names=["doc_id", "h", "at", "windows", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, rows, size = [], 0, 0
         for batch in batches:
             held.append(batch)
@@ -208,15 +211,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             yield spans([table.column(c).combine_chunks() for c in table.column_names[1:]])
 
     schema = "doc_id bigint, h bigint, at bigint, windows bigint, again boolean"
-    rows = suffix_rows(chosen(several.where(F.col("n") <= COMPARED)))
+    rows = suffix_rows(chosen("sorted"))
     dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "suffix")
     out = dealt.mapInArrow(run, schema)
-    crowded = several.where(F.col("n") > COMPARED)
-    if crowded.isEmpty():
+    if several.where("crowded").isEmpty():
         return out
-    windows = written(window_rows(chosen(crowded)))
-    counts = windows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("digest", "lo", "n")
-    found = join_spread(windows, written(counts), ["digest"])
+    windows = window_rows(chosen("counted"))
+    counts = windows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("digest", "lo")
+    found = windows.join(counts, "digest")
     one = found.select("doc_id", "h", F.col("at").cast("bigint").alias("at"), F.lit(1).cast("bigint").alias("windows"), F.explode(F.when(F.col("doc_id") > F.col("lo"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("again"))
     return out.unionByName(one)
 
