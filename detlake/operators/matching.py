@@ -118,7 +118,8 @@ def _by_group(rows: DataFrame, order: list[str | Column], f: Callable[[dict[str,
         if held and len(held["rank"]):
             yield from done(held)
 
-    return rows.repartition("image_id", "category_id").sortWithinPartitions("image_id", "category_id", "rank", *order).mapInArrow(run, schema)
+    # By a hash of the two: a union of inputs that are dealt by both columns would count as dealt already, though each is coalesced in its own way.
+    return rows.repartition(F.xxhash64("image_id", "category_id")).sortWithinPartitions("image_id", "category_id", "rank", *order).mapInArrow(run, schema)
 
 
 def _lists(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
