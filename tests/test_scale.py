@@ -116,3 +116,34 @@ def test_samples_are_bits_of_an_image(few):
 def test_masks_of_text_are_refused(few):
     df = few["dt"].limit(4).withColumn("segmentation", F.lit("no mask"))
     assert similarity.with_masks(df, few["imgs"], lean=True).where("mask.area is not null").isEmpty()
+
+
+def test_numbers_come_from_rows_that_are_made_once(spark):
+    from detlake.operators.ranking import numbered
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("id")).mapInArrow(count, "id bigint")
+    got = numbered(rows, F.floor(F.col("id") / 10) % 3)
+    want = {i: n for n, (_, i) in enumerate(sorted((i // 10 % 3, i) for i in range(5000)))}
+    assert {r["id"]: r["number"] for r in got.collect()} == want
+    assert got.where("number % 2 = 0").count() == 2500 and made.value <= 10000  # once for the bounds, once for the rows
+    assert numbered(spark.range(0).select("id"), F.col("id")).isEmpty()
+
+
+def test_error_scenarios_are_bits_of_one_row(few):
+    one = Params(iou_thrs=(0.5,), areas=(("all", 0.0, 1e10),), max_dets=(100,))
+    rows, counts = matching.evaluate(few["gt"], few["dt"], one)
+    n = matching.total(counts)
+    typed, missed = analysis.error_types(few["gt"], few["dt"], rows, one)
+    got = {r["error"]: r["delta_ap"] for r in analysis.error_deltas(typed, missed, n).collect()}
+    flags = typed.select("category_id", "score", "image_id", "rank", (F.col("matched") & ~F.col("ignored")).cast("long").alias("tp"), (~F.col("matched") & ~F.col("ignored")).cast("long").alias("fp"))
+    fixed = flags.where("true").join(typed.select("image_id", "category_id", "rank", "error"), ["image_id", "category_id", "rank"]).where("error is null or error <> 'Bkg'")
+    npig = n.where("a = 0").select("category_id", "npig")
+    ap = [analysis.average_precision(x, npig, ["category_id"], ["image_id", "rank"]).agg(F.avg("ap")).first()[0] for x in (flags, fixed)]
+    assert got["base"] == pytest.approx(ap[0], abs=1e-12) and got["Bkg"] == pytest.approx(ap[1] - ap[0], abs=1e-12)
