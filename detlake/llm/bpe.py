@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -15,7 +17,9 @@ from detlake.llm.frames import by_batch, documents, model
 from detlake.llm.tokens import SPLIT, Memory
 
 #: Pieces (in each of two generations) and token pairs whose result a worker remembers, and the longest piece whose entries are found on demand.
-PIECES, PAIRS, SHORT = 80_000, 200_000, 64
+PIECES, PAIRS, SHORT = 260_000, 200_000, 64
+#: Tokens whose texts are put together at a time, and last bytes by which the sizes of the tokens that may end there are looked up.
+TAKEN, TAIL = 1 << 18, 3
 
 
 class Vocabulary:
@@ -38,8 +42,16 @@ class Vocabulary:
         for text, token in self.ending.items():
             self.ends.add_word(text.decode("latin-1"), (token, len(text)))
         self.ends.make_automaton()
+        sizes: dict[bytes, set[int]] = {}
+        for text in self.ending:
+            sizes.setdefault(text[-TAIL:], set()).add(len(text))
+        self._sizes = {tail: tuple(sorted({*found, *range(1, TAIL)}, reverse=True)) for tail, found in sizes.items() if len(tail) == TAIL}
         self.pairs: dict[int, bool] = {}
+        self._last_token = self._finder()
         self.pieces = Memory(self._piece, PIECES)
+        every = range(max(self.bytes) + 1)
+        self.texts = pa.array([self.bytes.get(i) for i in every], pa.large_binary())
+        self.decimals = pa.array([b" %d" % i for i in every], pa.large_binary())
 
     def _last_merge(self, text: bytes, own: int) -> tuple[int, int] | None | bool:
         """The last merge of a token; None for a byte, False if merging its bytes never makes it."""
@@ -63,41 +75,54 @@ class Vocabulary:
             known = self.pairs[a << 24 | b] = self._compatible(a, b)
         return known
 
-    def _piece(self, piece: str) -> tuple[str, bytes]:
-        """Ids of a piece in decimals, and the bytes that they decode to."""
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece as 32-bit numbers."""
         data = piece.encode("utf-8")
         if data in self.rank:
             ids = [self.rank[data]]
         elif len(data) > SHORT:
             ids = Prefixes(self, data).tokens()
         else:
-            ids, end, last = [], len(data), {}
+            ids, end, last, find, texts = [], len(data), {}, self._last_token, self.bytes
             while end:
-                ids.append(self.last_token(data, end, last))
-                end -= len(self.bytes[ids[-1]])
+                token = last.get(end)
+                if token is None:
+                    token = find(data, end, last)
+                ids.append(token)
+                end -= len(texts[token])
             ids.reverse()
-        return " ".join(map(str, ids)), self.decode(ids)
-
-    def last_token(self, data: bytes, end: int, last: dict[int, int]) -> int:
-        """The unique valid last token of a prefix; ``last`` keeps it and those of the shorter prefixes it asks for."""
-        known = last.get(end)
-        if known is not None:
-            return known
-        ending, pairs = self.ending.get, self.pairs.get
-        for start in range(max(0, end - self.longest), end):
-            token = ending(data[start:end])
-            if token is None:
-                continue
-            if start:
-                before = last.get(start)
-                if before is None:
-                    before = self.last_token(data, start, last)
-                fits = pairs(before << 24 | token)
-                if not (self.compatible(before, token) if fits is None else fits):
-                    continue
-            last[end] = token
-            return token
-        raise ValueError(f"no token for byte {data[end - 1]!r}")
+        return array("i", ids).tobytes()
+
+    def _finder(self) -> Callable[[bytes, int, dict[int, int]], int]:
+        """The unique valid last token of a prefix: f(data, end, last); ``last`` keeps it and those of the shorter prefixes it asks for.
+
+        Only sizes of tokens that end in the prefix's last bytes are tried.
+        """
+        ending, pairs, compatible, sizes = self.ending.get, self.pairs.get, self.compatible, self._sizes.get
+        few, short = tuple(range(TAIL - 1, 0, -1)), [tuple(range(end, 0, -1)) for end in range(TAIL)]
+
+        def find(data: bytes, end: int, last: dict[int, int]) -> int:
+            for size in sizes(data[end - TAIL : end], few) if end >= TAIL else short[end]:
+                start = end - size
+                if start > 0:
+                    token = ending(data[start:end])
+                    if token is None:
+                        continue
+                    before = last.get(start)
+                    if before is None:
+                        before = find(data, start, last)
+                    fits = pairs(before << 24 | token)
+                    if fits or fits is None and compatible(before, token):
+                        last[end] = token
+                        return token
+                elif not start:
+                    token = ending(data[:end])
+                    if token is not None:
+                        last[end] = token
+                        return token
+            raise ValueError(f"no token for byte {data[end - 1]!r}")
+
+        return find
 
     def _compatible(self, a: int, b: int) -> bool:
         """Undo the merges on both sides, the latest first, and look for one across the boundary that comes sooner."""
@@ -115,13 +140,13 @@ class Vocabulary:
             else:
                 return True
 
-    def encoded(self, text: str) -> list[tuple[str, bytes]]:
-        """Each piece's ids in decimals and decoded bytes; repeated pieces are encoded once while remembered."""
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text; repeated pieces are encoded once while remembered."""
         known, make = self.pieces.new.get, self.pieces.__getitem__
-        return [known(piece) or make(piece) for piece in self.split.findall(text)]
+        return np.frombuffer(b"".join([known(piece) or make(piece) for piece in self.split.findall(text)]), np.intc)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.encoded(text) for i in ids.split()]
+        return self.ids(text).tolist()
 
     def decode(self, ids) -> bytes:
         table = self.bytes
@@ -201,6 +226,24 @@ def vocabulary(path: str) -> Vocabulary:
     return model(("ranks", path), lambda: Vocabulary(path))
 
 
+def _joined(table: pa.Array, ids: np.ndarray) -> Iterator[memoryview]:
+    """The table's bytes of all ids, one after the other, in parts."""
+    for low in range(0, len(ids), TAKEN):
+        _, offsets, data = table.take(pa.array(ids[low : low + TAKEN])).buffers()
+        edge = np.frombuffer(offsets, np.int64)
+        yield memoryview(data)[edge[0] : edge[min(TAKEN, len(ids) - low)]]
+
+
+def digests(v: Vocabulary, ids: np.ndarray) -> tuple[str, str]:
+    """Hashes of the ids in decimals, joined by a space, and of the bytes that they decode to."""
+    decimals, decoded = hashlib.sha256(), hashlib.sha256()
+    for i, part in enumerate(_joined(v.decimals, ids)):
+        decimals.update(part if i else part[1:])
+    for part in _joined(v.texts, ids):
+        decoded.update(part)
+    return decimals.hexdigest(), decoded.hexdigest()
+
+
 def encode_documents(docs: DataFrame, ranks: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and hashes of the ids and of the decoded bytes of each row's whole text.
 
@@ -212,18 +255,12 @@ def encode_documents(docs: DataFrame, ranks: str, keep_ids: bool = False) -> Dat
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(ranks)
-        n, ids_hash, text_hash, kept = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            pieces = v.encoded(text or "")
-            ids = " ".join([x for x, _ in pieces])
-            n.append(ids.count(" ") + 1 if ids else 0)
-            ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-            text_hash.append(hashlib.sha256(b"".join([x for _, x in pieces])).hexdigest())
-            if keep_ids:
-                kept.append(list(map(int, ids.split())))
-        columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
+        all_ids = [v.ids(text or "") for text in batch.column("text").to_pylist()]
+        n = np.array([len(ids) for ids in all_ids], np.int64)
+        ids_hash, text_hash = zip(*(digests(v, ids) for ids in all_ids)) if len(n) else ((), ())
+        columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
         if keep_ids:
-            columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids])))
         return pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

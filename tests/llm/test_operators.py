@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,20 @@ def test_tokens_of_random_code_points_match_the_libraries():
         assert counter.count(text) == len(other.encode(text, add_special_tokens=False).ids)
 
 
+def test_a_remembered_piece_is_its_ids_and_few_sizes_are_tried():
+    v = bpe.vocabulary(P.path("byte_bpe_50k.tiktoken"))
+    piece = " unwahrscheinlichkeiten"
+    assert v.pieces[piece] == np.array(v.encode(piece), np.intc).tobytes()
+    tried = [len(v._sizes.get(piece.encode()[end - 3 : end], (2, 1))) for end in range(3, len(piece) + 1)]
+    assert sum(tried) < 9 * len(tried)
+    for text in v.ending:
+        assert len(text) < 3 or len(text) in v._sizes[text[-3:]]
+    long = "ab" * 200_000  # more tokens than are put together at a time
+    ids = bpe.Prefixes(v, long.encode()).tokens() + v.encode(" of the" * 150_000)
+    text = v.decode(ids)
+    assert len(ids) > bpe.TAKEN and bpe.digests(v, np.array(ids, np.intc)) == (hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest())
+
+
 def test_vocabularies_that_are_not_handled_are_refused():
     spec = {"model": {"end_of_word_suffix": "</w>"}, "normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "ByteLevel", "use_regex": True}, "added_tokens": [{"lstrip": True}]}
     assert tokens.HeapCounter.unhandled(spec) == ["end_of_word_suffix", "normalizer", "lstrip"]
