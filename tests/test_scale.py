@@ -147,3 +147,19 @@ def test_error_scenarios_are_bits_of_one_row(few):
     npig = n.where("a = 0").select("category_id", "npig")
     ap = [analysis.average_precision(x, npig, ["category_id"], ["image_id", "rank"]).agg(F.avg("ap")).first()[0] for x in (flags, fixed)]
     assert got["base"] == pytest.approx(ap[0], abs=1e-12) and got["Bkg"] == pytest.approx(ap[1] - ap[0], abs=1e-12)
+
+
+def test_group_of_and_federated_marks_in_groups_are_the_plain_forms(spark, few):
+    plain = lambda dt, gt: matching.box_pairs(dt, gt)  # noqa: E731 (without ``within``: joins)
+    p = Params(iou_thrs=(0.3, 0.5, 0.75), max_dets=(3,))
+    gt = few["gt"].withColumn("is_group_of", F.col("id") % 5 == 0)
+    for use_cats in (True, False):
+        q = Params(iou_thrs=p.iou_thrs, max_dets=p.max_dets, use_cats=use_cats)
+        got, want = (analysis.open_images(gt if use_cats else matching.pooled(gt, q), few["dt"], q, x) for x in (matching.box_pairs, plain))
+        assert same(got[0], want[0]) and same(got[1], want[1])
+    assert "Join" not in plan(got[0])
+    images = few["imgs"].where("id % 7 = 0").select("id", F.when(F.col("id") % 3 > 0, F.array(1 + F.col("id") % 4)).alias("neg_category_ids"), F.array(1 + (F.col("id") + 1) % 4, F.lit(None)).alias("not_exhaustive_category_ids"))
+    gt = few["gt"].where("id % 4 = 0")
+    got, want = (analysis.federated(gt, few["dt"], images, p, x) for x in (matching.box_pairs, plain))
+    assert same(got[0], want[0]) and same(got[1], want[1])
+    assert 0 < got[0].count() < few["dt"].count() * len(p.areas) and "Join LeftSemi" not in plan(got[0])
