@@ -77,12 +77,12 @@ class Dataset:
             anns = anns.where(F.col("image_id").isin(*img_ids))
         if area_rng is not None:
             anns = anns.where(F.coalesce("area", F.lit(0.0)).between(*area_rng))
-        images = self.images
+        images, named = self.images, lambda column: anns.select(F.col(column).alias("id")).distinct()  # counted where they are: a task of a join by category would hold all of one
         if drop_empty_images:
-            images = images.join(anns.select(F.col("image_id").alias("id")), "id", "left_semi")
+            images = images.join(named("image_id"), "id", "left_semi")
         elif img_ids is not None:
             images = images.where(F.col("id").isin(*img_ids))
-        return replace(self, images=images, annotations=anns, categories=self.categories.join(anns.select(F.col("category_id").alias("id")), "id", "left_semi"))
+        return replace(self, images=images, annotations=anns, categories=self.categories.join(named("category_id"), "id", "left_semi"))
 
     def subset(self, images: DataFrame) -> Dataset:
         return replace(self, images=images, annotations=self.annotations.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi"))
@@ -192,7 +192,7 @@ def health(d: Dataset) -> DataFrame:
     parts = [
         again(images, "duplicate_image_id"), again(anns, "duplicate_ann_id"), again(cats, "duplicate_category_id"),
         found(anns.join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti"), "orphan_image_id", "structure"),
-        found(anns.join(cats.select(F.col("id").alias("category_id")), "category_id", "left_anti"), "orphan_category_id", "structure"),
+        found(anns.join(F.broadcast(cats.select(F.col("id").alias("category_id"))), "category_id", "left_anti"), "orphan_category_id", "structure"),
         found(anns.where("w is null"), "missing_geometry", "structure"),
         found(images.where("width = 0 or height = 0"), "zero_dimensions", "structure"),
         found(boxed.where(degenerate), "degenerate_bbox"), found(sound.where("area = 0"), "zero_area"),
@@ -208,12 +208,20 @@ def health(d: Dataset) -> DataFrame:
 
 
 def detection_health(dt: DataFrame, d: Dataset) -> DataFrame:
-    """code, id of detections without a known image or category, and without a score from 0 to 1."""
-    mark = lambda df, code: df.select(F.lit(code).alias("code"), "id")
-    out = mark(dt.join(d.images.select(F.col("id").alias("image_id")), "image_id", "left_anti"), "dt_orphan_image_id")
-    out = out.unionByName(mark(dt.join(d.categories.select(F.col("id").alias("category_id")), "category_id", "left_anti"), "dt_orphan_category_id"))
-    out = out.unionByName(mark(dt.where("score is null"), "dt_missing_score"))
-    return out.unionByName(mark(dt.where(~F.col("score").between(0.0, 1.0) | F.isnan("score")), "dt_score_out_of_range"))
+    """code, id of detections without a known image or category, and without a score from 0 to 1.
+
+    One pass over the detections: they meet the images in one shuffle, and
+    categories, a small table, are broadcast, so no task holds all of one.
+    """
+    known = lambda df, column: df.select(F.col("id").alias(column), F.lit(True).alias(f"_{column}")).distinct()
+    rows = dt.select("id", "image_id", "category_id", "score").join(known(d.images, "image_id"), "image_id", "left").join(F.broadcast(known(d.categories, "category_id")), "category_id", "left")
+    found = {
+        "dt_orphan_image_id": F.col("_image_id").isNull(),
+        "dt_orphan_category_id": F.col("_category_id").isNull(),
+        "dt_missing_score": F.col("score").isNull(),
+        "dt_score_out_of_range": ~F.col("score").between(0.0, 1.0) | F.isnan("score"),
+    }
+    return rows.select(F.explode(F.array_compact(F.array(*(F.when(bad, code) for code, bad in found.items())))).alias("code"), "id")
 
 
 def health_summary(d: Dataset) -> DataFrame:

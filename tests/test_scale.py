@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from detlake import scene as module
 from detlake.functions import masks
 from detlake.operators import analysis, curve, matching, similarity
+from detlake.operators.dataset import Dataset, detection_health
 from detlake.operators.params import Params
 from detlake.plans import queries
 from detlake.scene import BASE, DT, GT, scene
@@ -163,3 +165,32 @@ def test_group_of_and_federated_marks_in_groups_are_the_plain_forms(spark, few):
     got, want = (analysis.federated(gt, few["dt"], images, p, x) for x in (matching.box_pairs, plain))
     assert same(got[0], want[0]) and same(got[1], want[1])
     assert 0 < got[0].count() < few["dt"].count() * len(p.areas) and "Join LeftSemi" not in plan(got[0])
+
+
+def test_detection_health_is_one_pass_and_counts_each_row(spark, few):
+    dt = few["dt"].select("id", F.when(F.col("id") % 13 > 0, F.col("image_id")).alias("image_id"), "category_id", F.when(F.col("id") % 11 > 0, F.col("score") + (F.col("id") % 3)).alias("score"))
+    dt = dt.unionByName(dt.where("id % 5 = 0")).unionByName(spark.createDataFrame([(7, 1, None, float("nan"))], "id long, image_id long, category_id long, score double"))
+    d = Dataset(few["imgs"].where("id % 3 > 0").unionByName(few["imgs"].limit(5)), few["gt"], few["cats"].where("id <> 2"))
+    got = detection_health(dt, d)
+    images, cats = ({r["id"] for r in x.collect()} for x in (d.images, d.categories))
+    want = []
+    for r in dt.collect():
+        s = r["score"]
+        codes = ["dt_orphan_image_id"] * (r["image_id"] not in images) + ["dt_orphan_category_id"] * (r["category_id"] not in cats)
+        codes += ["dt_missing_score"] if s is None else ["dt_score_out_of_range"] * (not 0.0 <= s <= 1.0)
+        want += [(c, r["id"]) for c in codes]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Union" not in plan(queries.ds_detection_health(spark, SF))
+
+
+def test_shuffle_partitions_follow_the_rows(spark, monkeypatch):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        scene(spark, SF)
+        assert spark.conf.get(name) == before
+        monkeypatch.setattr(module, "ROWS", 100)
+        scene(spark, SF)
+        assert int(spark.conf.get(name)) == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    finally:
+        spark.conf.set(name, before)
